@@ -21,12 +21,20 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return [r[0] for r in rows if r.n * HOT > total and r.n > 1000] if rows else []
 
 
-def clustered(df: DataFrame, key: str, item: str, hot: list) -> DataFrame:
+def clustered(df: DataFrame, key: str, item: str, limit: int = 50_000) -> DataFrame:
     """(key, part, item) rows without nulls: partitioned by key and part, sorted by key, part and item.
 
-    part is 0 for all rows of an ordinary key, so they lie together; a hot key's rows are spread over PARTS by item, so
-    equal rows still lie together.
+    part is 0 for all rows of an ordinary key, so they lie together. A hot key's rows are made distinct first, on the map
+    side too; if no more than `limit` remain they lie together as well, else they are spread over PARTS by item.
     """
-    part = F.when(F.col("k").isin(hot), F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int") + 1).otherwise(0) if hot else F.lit(0)
-    rows = df.select(F.col(key).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null").withColumn("part", part)
+    rows = df.select(F.col(key).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null")
+    hot = hot_keys(rows, "k")
+    if hot:
+        distinct = rows.where(F.col("k").isin(hot)).distinct()
+        sizes = distinct.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()  # fewer than HOT rows
+        big = [r.k for r in sizes]
+        part = F.when(F.col("k").isin(big), F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int") + 1).otherwise(0) if big else F.lit(0)
+        rows = rows.where(~F.col("k").isin(hot)).withColumn("part", F.lit(0)).unionByName(distinct.withColumn("part", part))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
     return rows.repartition("k", "part").sortWithinPartitions("k", "part", "x").select("k", "part", "x")
