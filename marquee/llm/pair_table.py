@@ -25,28 +25,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.similar_sets import mix64
-from marquee.operators.skew import clustered, hot_keys
+from marquee.operators.skew import clustered
 from marquee.session import scratch, ship
 
 #: Kinds of the state's rows: pair counts (a, b, n); item counts (item, null, n); number of baskets (0, null, n); rows of
 #: kept large baskets (basket, item, 1); rows of large baskets whose pairs are counted (basket, item, 1).
 PAIR, ITEM, BASKETS, KEPT, COUNTED = 0, 1, 2, 3, 4
-_STATE = "kind int, bucket int, a bigint, b bigint, n bigint"
-_DELTA = "kind int, bucket int, payload binary"
+_ROWS = "kind int, bucket int, a bigint, b bigint, n bigint"
+#: State and deltas alike: the sorted rows of a kind and bucket, packed, so that only what is asked for becomes Spark rows.
+_STATE = "kind int, bucket int, payload binary"
+
+
+def _narrow(column: np.ndarray) -> tuple[int, bytes]:
+    """A column in the narrowest of three widths, bytes of equal weight together."""
+    low, high = (int(column.min()), int(column.max())) if len(column) else (0, 0)
+    kind = next(k for k in (np.int8, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    width = np.dtype(kind).itemsize
+    raw = column.astype(kind)
+    return width, raw.tobytes() if width == 1 else raw.view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _wide(raw: np.ndarray, width: int) -> np.ndarray:
+    kind = {1: np.int8, 4: np.int32, 8: np.int64}[width]
+    flat = raw if width == 1 else np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1)
+    return flat.view(kind).astype(np.int64)
 
 
 def pack(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> bytes:
-    """Columns sorted by (a, b), as differences, bytes of equal weight together, compressed."""
-    parts = [np.diff(a, prepend=np.int64(0)), np.diff(b, prepend=np.int64(0)) if b is not None else np.zeros(0, np.int64), n.astype(np.int64)]
-    raw = b"".join(p.view(np.uint8).reshape(len(p), 8).T.tobytes() if len(p) else b"" for p in parts)
-    return len(a).to_bytes(8, "little") + bytes([b is not None]) + pa.compress(raw, "zstd", asbytes=True)
+    """Rows sorted by (a, b), compressed: runs of a, differences of b, counts."""
+    heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+    columns = [np.diff(a[heads], prepend=np.int64(0)), np.diff(np.append(heads, len(a))), n]
+    columns += [np.diff(b, prepend=np.int64(0))] if b is not None else []
+    parts = [_narrow(c.astype(np.int64)) for c in columns]
+    head = np.array([len(parts), *(x for c, (w, _) in zip(columns, parts) for x in (len(c), w))], np.int64).tobytes()
+    return head + pa.compress(b"".join(raw for _, raw in parts), "zstd", asbytes=True)
 
 
 def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    size, two = int.from_bytes(payload[:8], "little"), payload[8]
-    raw = np.frombuffer(pa.decompress(payload[9:], size * 8 * (2 + two), "zstd", asbytes=True), np.uint8)
-    columns = [np.ascontiguousarray(raw[i * 8 * size : (i + 1) * 8 * size].reshape(8, size).T).reshape(-1).view(np.int64) for i in range(2 + two)]
-    return np.cumsum(columns[0]), np.cumsum(columns[1]) if two else None, columns[-1]
+    count = int(np.frombuffer(payload[:8], np.int64)[0])
+    shape = np.frombuffer(payload[8 : 8 + 16 * count], np.int64).reshape(count, 2)
+    raw, at, columns = np.frombuffer(pa.decompress(payload[8 + 16 * count :], int(shape.prod(axis=1).sum()), "zstd", asbytes=True), np.uint8), 0, []
+    for length, width in shape.tolist():
+        columns.append(_wide(raw[at : at + length * width], width))
+        at += length * width
+    return np.repeat(np.cumsum(columns[0]), columns[1]), np.cumsum(columns[3]) if count == 4 else None, columns[2]
 
 
 def added(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -104,7 +126,7 @@ def _pairs_of(k: np.ndarray, x: np.ndarray, most: int = 3_000_000) -> Iterator[t
 
 def _bucketed(kind: int, a, b, n, buckets: int) -> pa.RecordBatch:
     at = bucket_of(a, b, buckets)
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")  # 16 bits: a radix sort
     a, b, n, at = a[order], b[order] if b is not None else None, n[order], at[order]
     heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     ends = np.append(heads[1:], len(at))
@@ -194,21 +216,37 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     parts = [unpack(p) for p in table["payload"].to_pylist()]
     two = parts[0][1] is not None
     a, b, n = added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) if two else None, np.concatenate([p[2] for p in parts]))
-    same = lambda v: pa.array(np.full(len(a), v.as_py(), np.int32))
-    return pa.table({"kind": same(key[0]), "bucket": same(key[1]), "a": a, "b": b if two else pa.nulls(len(a), pa.int64()), "n": n})
+    same = lambda v: pa.array([v.as_py()] if len(a) else [], pa.int32())
+    return pa.table({"kind": same(key[0]), "bucket": same(key[1]), "payload": pa.array([pack(a, b, n)] if len(a) else [], pa.binary())})
 
 
-def _repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the state back to payloads."""
-    for batch in batches:
-        kind, bucket, a, n = (np.asarray(batch.column(i)) for i in (0, 1, 2, 4))
-        if not len(a):
-            continue
-        code = kind.astype(np.int64) << 32 | bucket
-        for value in np.unique(code):
-            rows = np.flatnonzero(code == value)
-            b = np.asarray(batch.column(3).take(pa.array(rows))) if (value >> 32) in (PAIR, KEPT, COUNTED) else None
-            yield pa.RecordBatch.from_arrays([pa.array([value >> 32], pa.int32()), pa.array([value & 0xFFFFFFFF], pa.int32()), pa.array([pack(a[rows], b, n[rows])], pa.binary())], ["kind", "bucket", "payload"])
+def _unpacked(least: int | None):
+    """Payloads to rows; least: only rows counted so often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b, n = unpack(payload)
+                if least is not None:
+                    keep = n >= least
+                    a, b, n = a[keep], b[keep] if b is not None else None, n[keep]
+                same = lambda v: pa.array(np.full(len(a), v, np.int32))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(kind), same(bucket), pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64()), pa.array(n)], ["kind", "bucket", "a", "b", "n"])
+
+    return run
+
+
+def _moved(buckets: int):
+    """Rows (a, b, n) of large baskets from kind KEPT to COUNTED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b, n = added(*(np.asarray(c) for c in batch.columns))
+                yield _bucketed(KEPT, a, b, -n, buckets)
+                yield _bucketed(COUNTED, a, b, n, buckets)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -243,19 +281,25 @@ class PairTable:
     def state(self) -> DataFrame:
         if self.version is None:
             return self.spark.createDataFrame([], _STATE)
-        return self.spark.read.schema(_STATE).parquet(f"{self.path}/{self.version}")
+        columns = ["kind", "bucket", "payload"]  # a partition column is read last
+        return self.spark.read.schema(_STATE).parquet(f"{self.path}/{self.version}").select(columns)
+
+    def rows(self, *kinds: int, least: int | None = None) -> DataFrame:
+        """(kind, bucket, a, b, n) rows of the state."""
+        return self.state().where(F.col("kind").isin(*kinds)).mapInArrow(_unpacked(least), _ROWS)
 
-    def _write(self, deltas: DataFrame, recount: bool = True) -> None:
+    def _write(self, deltas: DataFrame) -> None:
         if self.version is not None:
-            deltas = deltas.unionByName(self.state().mapInArrow(_repack, _DELTA))
+            deltas = deltas.unionByName(self.state())
         number = int(self.version[1:]) + 1 if self.version else 0
-        deltas.groupBy("kind", "bucket").applyInArrow(_merge, _STATE).write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/v{number}")
+        merged = deltas.groupBy("kind", "bucket").applyInArrow(_merge, _STATE)
+        merged.write.mode("overwrite").partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.path}/v{number}")
         self.version = f"v{number}"
 
     def _side(self, rows: DataFrame, basket: str, item: str, sign: int) -> DataFrame:
         source = rows.select(F.col(basket).cast("bigint").alias("basket"), F.col(item).cast("bigint").alias("item"))
-        laid = clustered(source, "basket", "item", hot_keys(source, "basket"))
-        return laid.mapInArrow(_deltas(sign, self.layout.buckets, self.layout.large), _DELTA)
+        laid = clustered(source, "basket", "item", self.layout.large)
+        return laid.mapInArrow(_deltas(sign, self.layout.buckets, self.layout.large), _STATE)
 
     def update(self, after: DataFrame, before: DataFrame | None = None, *, basket: str, item: str) -> PairTable:
         """Apply a change: whole contents of the changed baskets after and before it."""
@@ -271,33 +315,37 @@ class PairTable:
 
         Parts of hot baskets that turn out to be small are counted as well.
         """
-        rows = self.state().where(F.col("kind").isin(KEPT, COUNTED))
+        rows = self.rows(KEPT, COUNTED)
         sizes = rows.groupBy("a", "kind").agg(F.count("*").alias("size"))
         largest = [r.a for r in sizes.where(f"kind = {KEPT} and size > {self.layout.large}").orderBy(F.desc("size"), "a").limit(self.layout.most_kept).collect()]
         moving = rows.where((F.col("kind") == KEPT) & ~F.col("a").isin(largest))
         if moving.limit(1).count():
-            counts = moving.groupBy("a").agg(F.count("*").alias("size"))
+            # What the table counted of these baskets so far is taken back, what they hold now is counted.
+            touched = moving.select("a").distinct()
+            mine = rows.where(~F.col("a").isin(largest)).join(touched, "a", "left_semi")
+            old = mine.where(f"kind = {COUNTED}").select("a", "b", F.lit(-1).alias("n"))
+            new = mine.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0").select("a", "b", F.lit(1).alias("n"))
+            both = old.unionByName(new)
+            counts = both.groupBy("a", "n").agg(F.count("*").alias("size"))
             chunks = F.ceil(F.col("size") / 2048).cast("int")
-            placed = moving.join(counts, "a").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("b"), "chunks").cast("int"))
+            placed = both.join(counts, ["a", "n"]).withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("b"), "chunks").cast("int"))
             other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
             spread = placed.select(F.col("a").alias("k"), "c", F.col("b").alias("x"), "n", other).select("k", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "x", "n")
-            pairs = spread.groupBy("k", "i", "j").applyInArrow(_chunk_deltas(self.layout.buckets), _DELTA)
+            pairs = spread.groupBy("k", "i", "j", "n").applyInArrow(_chunk_deltas(self.layout.buckets), _STATE)
             # Their rows change kind, so that a later change finds them counted.
-            leave = moving.select("kind", "bucket", "a", "b", (-F.col("n")).alias("n"))
-            enter = moving.select(F.lit(COUNTED).alias("kind"), "bucket", "a", "b", "n")
-            self._write(pairs.unionByName(leave.unionByName(enter).mapInArrow(_repack, _DELTA)))
+            change = moving.select("a", "b", "n").mapInArrow(_moved(self.layout.buckets), _STATE)
+            self._write(pairs.unionByName(change))
 
     def scores(self, least: int, lift: int, changed: DataFrame | None = None) -> DataFrame:
         """(a, b, n_ab, n_a, n_b, baskets, lift) of pairs with n_ab >= least and lift >= `lift`.
 
         changed: only pairs with one of these items (column item), the ones a change of their baskets affected.
         """
-        state = self.state()
-        kept = state.where(f"kind = {KEPT}").select("a", F.col("b").alias("x")).distinct()
+        kept = self.rows(KEPT).select("a", F.col("b").alias("x")).distinct()
         baskets = [r.a for r in kept.select("a").distinct().limit(self.layout.most_kept + 1).collect()]
         if len(baskets) >= least:
             raise ValueError("the least support must exceed the number of large baskets kept as rows")
-        pairs = state.where(f"kind = {PAIR} and n >= {least - len(baskets)}").select("a", "b", "n")
+        pairs = self.rows(PAIR, least=least - len(baskets)).select("a", "b", "n")
         if changed is not None:
             pairs = pairs.join(changed.select(F.col("item").alias("a")).distinct().withColumn("hit_a", F.lit(1)), "a", "left").join(changed.select(F.col("item").alias("b")).distinct().withColumn("hit_b", F.lit(1)), "b", "left").where("hit_a = 1 or hit_b = 1").select("a", "b", "n")
         if baskets:
@@ -305,8 +353,8 @@ class PairTable:
             masks = kept.groupBy("x").agg(F.bit_or(bit.cast("bigint")).alias("m"))
             pairs = pairs.join(masks.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a", "left").join(masks.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b", "left")
             pairs = pairs.select("a", "b", (F.col("n") + F.coalesce(F.expr("bit_count(ma & mb)"), F.lit(0))).alias("n")).where(f"n >= {least}")
-        items = state.where(f"kind = {ITEM}").select(F.col("a").alias("x"), F.col("n").alias("nx"))
-        total = state.where(f"kind = {BASKETS}").agg(F.sum("n").alias("baskets"))
+        items = self.rows(ITEM).select(F.col("a").alias("x"), F.col("n").alias("nx"))
+        total = self.rows(BASKETS).agg(F.sum("n").alias("baskets"))
         full = pairs.join(items.select(F.col("x").alias("a"), F.col("nx").alias("n_a")), "a").join(items.select(F.col("x").alias("b"), F.col("nx").alias("n_b")), "b").crossJoin(F.broadcast(total))
         wide = lambda c: F.col(c).cast("decimal(20,0)")
         return full.where(wide("n") * wide("baskets") >= F.lit(lift) * wide("n_a") * wide("n_b")).select("a", "b", F.col("n").alias("n_ab"), "n_a", "n_b", "baskets", (F.col("n") * F.col("baskets") / (F.col("n_a").cast("double") * F.col("n_b"))).alias("lift"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.skew import clustered, hot_keys
+from marquee.operators.skew import clustered
 from marquee.session import ship, written
 
 BITS = 128
@@ -133,10 +133,9 @@ def signatures(df: DataFrame, record: str, item: str) -> DataFrame:
     """(r, size, h1, h2, c1, c2) of every record, written to the shared folder."""
     ship(df.sparkSession)
     source = df.select(F.col(record).cast("bigint").alias("record"), F.col(item).cast("bigint").alias("item"))
-    hot = hot_keys(source, "record")
-    made = written(clustered(source, "record", "item", hot).mapInArrow(_signatures, _SIGNATURE), "signatures")
+    made = written(clustered(source, "record", "item").mapInArrow(_signatures, _SIGNATURE), "signatures")
     columns = ["r", "size", "h1", "h2", "c1", "c2"]
-    if not hot:
+    if not made.where("minima is not null").limit(1).count():
         return made.select(columns)
     whole = made.where("minima is null").select(columns)
     return whole.unionByName(made.where("minima is not null").groupBy("r").applyInArrow(_joined, _SIGNATURE).select(columns))
