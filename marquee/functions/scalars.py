@@ -43,13 +43,13 @@ def date_year(date: Column | str) -> Column:
 def sigmoid_threshold(k: Column, queue: Column, w: Column, center: float = 1.0, a: float = 0.75, c: float = 0.2, most: float = 1.0, least: float = 0.0) -> Column:
     """MTH1, MTH2, CON7: items to offer anew in round k, half to even; 0 in round 0.
 
-    The curve rises from c to 1 around a midpoint that lies so far before or after `center` that it is within 0.015 of its
-    start there; it is scaled by the fill of the queue, from `least` to `most`.
+    The share of the window rises from c to 1 along a logistic curve in k; its midpoint lies before `center` by as much as
+    brings the curve's foot within 0.015 of c. The rise is scaled by the fill of the queue between `least` and `most`.
     """
     x0 = center - (1 / a) * math.log((1 - c) / 0.015 - 1)
-    curve = F.lit(c) + (1 - c) / (1 + F.exp(-a * (k - F.lit(x0))))
-    scale = F.lit(least) + (most - least) * F.least(F.lit(1.0), queue / w)
-    return F.when(k == 0, 0).otherwise(F.rint(w * curve * scale)).cast("int")
+    fill = F.greatest(F.lit(0.0), F.least(queue.cast("double"), F.lit(float(most))) - least) / (most - least)
+    share = F.lit(c) + (1 - c) / (1 + F.exp(-a * (k - F.lit(x0)))) * fill
+    return F.when(k == 0, 0).otherwise(F.rint(w * share)).cast("int")
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -91,11 +91,11 @@ def _(s, d):
 _X0 = "(1 - (1 / 0.75) * ln((1 - 0.2) / 0.015 - 1))"
 
 
-@add("con7_sigmoid_t", f"SELECT k, q, w, CASE WHEN k = 0 THEN 0 ELSE CAST(round_even(w * (0.2 + 0.8 / (1 + exp(-0.75 * (k - {_X0})))) * least(1.0, q / w), 0) AS INTEGER) END AS t FROM (SELECT DISTINCT l_linenumber - 1 AS k, CAST(l_quantity AS BIGINT) AS q, ([1, 3, 5, 10])[l_suppkey % 4 + 1] AS w FROM lineitem)")
+@add("con7_sigmoid_t", f"SELECT k, q, w, CASE WHEN k = 0 THEN 0 ELSE CAST(round_even(w * (0.2 + 0.8 / (1 + exp(-0.75 * (k - {_X0}))) * greatest(0, least(q, 10) - 2) / 8), 0) AS INTEGER) END AS t FROM (SELECT DISTINCT l_linenumber - 1 AS k, CAST(l_quantity AS BIGINT) AS q, ([1, 3, 5, 10])[l_suppkey % 4 + 1] AS w FROM lineitem)")
 def _(s, d):
     w = F.element_at(F.array(*map(F.lit, (1, 3, 5, 10))), (F.col("l_suppkey") % 4 + 1).cast("int"))
     rows = table(s, d, "lineitem").select((F.col("l_linenumber") - 1).alias("k"), F.col("l_quantity").cast("bigint").alias("q"), w.alias("w")).distinct()
-    return rows.withColumn("t", S.sigmoid_threshold(F.col("k"), F.col("q"), F.col("w")))
+    return rows.withColumn("t", S.sigmoid_threshold(F.col("k"), F.col("q"), F.col("w"), most=10.0, least=2.0))
 
 
 @add("mth2_half_even", "SELECT DISTINCT l_quantity AS x, CAST(round_even(l_quantity / 2, 0) AS BIGINT) AS y FROM lineitem")
