@@ -62,7 +62,7 @@ def last_written(df: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """SNK1: CSV with a header; written by all tasks."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -40,7 +40,7 @@ def differences(spark, directory: str, name: str, query, sql: str | None, con=No
     """Empty if the two agree."""
     df = query(spark, directory)
     columns = sorted(df.columns)
-    ours = sorted([tuple(map(cell, r)) for r in df.select(*columns).toPandas().astype(object).itertuples(index=False)] if False else [tuple(map(cell, r)) for r in df.select(*columns).collect()])
+    ours = sorted(tuple(map(cell, r)) for r in df.select(*columns).collect())
     if sql is None:
         return ""
     got = (con or connect(directory)).execute(sql)
