@@ -56,9 +56,9 @@ def written(df, name: str):
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors of a cluster this package, so that its Python functions can be loaded there."""
+    """Give Python workers this package, so that its functions can be loaded wherever they run; once an application."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="marquee-ship-"), "marquee.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -70,4 +70,5 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, directory: str, name: str):
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
