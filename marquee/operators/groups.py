@@ -18,12 +18,13 @@ from marquee.operators.splits import hash_order, split_keys
 def random_groups(users: DataFrame, n: int, size: int = 3, seed: int = 42, tries: int = 10) -> DataFrame:
     """GRP2: up to n distinct groups; each draws `size` members by hash among the users of its slot, repeats fall out."""
     slots = users.sparkSession.range(n * tries).select(F.col("id").alias("slot"))
+    users = users.select("user_id").where("user_id is not null").distinct()
     count = users.count()
     if count < size:
         return users.sparkSession.createDataFrame([], "group_id bigint, members array<bigint>")
     from marquee.operators.ranking import with_position
 
-    placed = with_position(users.select("user_id").distinct(), ["user_id"], "pos")
+    placed = with_position(users, ["user_id"], "pos")
     draws = slots.select("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k")).select("slot", F.pmod(F.xxhash64("slot", "k", F.lit(seed)), F.lit(count)).alias("pos"))
     drawn = draws.join(placed, "pos").groupBy("slot").agg(F.array_sort(F.collect_set("user_id")).alias("members")).where(F.size("members") == size)
     first = drawn.groupBy("members").agg(F.min("slot").alias("group_id"))
