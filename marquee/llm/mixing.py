@@ -43,8 +43,8 @@ def plan_budgets(sizes: dict[str, int], targets: list[tuple[str, float, int]], t
     whole = sum(share for _, share, _ in live)
     if not live:
         return {}
-    size = total if total is not None else math.floor(min(cap * sizes[s] * whole / share for s, share, cap in live))
-    return {s: (share / whole, min(math.floor(size * share / whole), cap * sizes[s])) for s, share, cap in live}
+    size = total if total is not None else min(cap * sizes[s] * whole / share for s, share, cap in live)
+    return {s: (share / whole, min(math.floor(size * share / whole + 1e-6), cap * sizes[s])) for s, share, cap in live}
 
 
 def mix(df: DataFrame, targets: DataFrame, *, record: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, total: int | None = None, seed: int = 17, slices: int = 4096, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:

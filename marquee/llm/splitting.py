@@ -13,15 +13,15 @@ stronger boundaries, then later ones.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marquee.llm.tokenize import TOKENIZERS, TrieEncoder, Vocabulary, encoder, slices
+from marquee.llm.tokenize import TOKENIZERS, TrieEncoder, Vocabulary, encoder, slices, spread
 from marquee.session import ship
 
 #: Words of the blocks compared on either side of a boundary.
@@ -33,22 +33,28 @@ PARAGRAPH, LINE, SENTENCE, WORD, NONE = 4, 3, 2, 1, 0
 
 def boundary_strengths(words: list[str]) -> list[int]:
     """By word: what ends with it. White space at a boundary belongs to the side the tokenizer gives it."""
-    out, breaks, said = [], 0, ""
+    blank = [w.isspace() for w in words]
+    out, breaks, said, ended, n = [], 0, "", False, len(words)
     for i, w in enumerate(words):
-        after = words[i + 1] if i + 1 < len(words) else " "
-        if w.isspace():
-            breaks += w.replace("\r\n", "\n").count("\n") + w.replace("\r\n", "").count("\r")
+        last = i + 1 == n
+        opens = last or blank[i + 1] or words[i + 1][0].isspace()  # the next word begins with white space
+        if blank[i]:
+            if w != " ":
+                breaks += w.count("\n") + w.count("\r") - w.count("\r\n")
+                if w[0] == "\n" and i and words[i - 1][-1] == "\r":
+                    breaks -= 1  # the two halves of one line end
         else:
             breaks, said = 0, w
-        if w.isspace() and after.isspace() and ("\n" in after or "\r" in after):
+            ended = not w[-1].isalnum() and _SENTENCE.search(w) is not None
+        if breaks and blank[i] and not last and blank[i + 1] and ("\n" in words[i + 1] or "\r" in words[i + 1]):
             out.append(NONE)  # the white space goes on; the cut comes after it
         elif breaks >= 2:
             out.append(PARAGRAPH)
         elif breaks:
             out.append(LINE)
-        elif _SENTENCE.search(said) and (after[0].isspace() or w.isspace() or ord(said[-1]) > 0x2FFF):
+        elif ended and (opens or blank[i] or ord(said[-1]) > 0x2FFF):
             out.append(SENTENCE)
-        elif after[0].isspace() or w.isspace():
+        elif opens or blank[i]:
             out.append(WORD)
         else:
             out.append(NONE)
@@ -57,14 +63,26 @@ def boundary_strengths(words: list[str]) -> list[int]:
 
 def valley_depths(words: list[str], gaps: list[int], block: int = BLOCK) -> list[float]:
     """By gap (a cut after that word): how far the similarity of the blocks around it lies below the peaks on both sides."""
-    terms = [(i, m.group().lower()) for i, w in enumerate(words) for m in _LETTERS.finditer(w)]
-    at = [i for i, _ in terms]
-    similarity = []
-    for g in gaps:
-        k = bisect_right(at, g)
-        a, b = Counter(t for _, t in terms[max(0, k - block) : k]), Counter(t for _, t in terms[k : k + block])
-        norm = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
-        similarity.append(sum(n * b[t] for t, n in a.items()) / norm if norm else 0.0)
+    ids: dict[str, int] = {}
+    at, terms = [], []
+    for i, w in enumerate(words):
+        if len(w) > 1:
+            for t in _LETTERS.findall(w):
+                at.append(i)
+                terms.append(ids.setdefault(t.lower(), len(ids)))
+    places = np.searchsorted(np.array(at, np.int64), np.array(gaps, np.int64), side="right")
+    codes, similarity = np.array(terms, np.int64), []
+    for start in range(0, len(gaps), 64):  # running counts of the terms around so many gaps
+        k = places[start : start + 64]
+        low, high = max(0, int(k[0]) - block), min(len(codes), int(k[-1]) + block)
+        kinds, local = np.unique(codes[low:high], return_inverse=True)
+        counts = np.zeros((high - low + 1, max(1, len(kinds))), np.int32)
+        counts[np.arange(1, high - low + 1), local] = 1
+        np.cumsum(counts, axis=0, out=counts)
+        middle = counts[k - low]
+        before, after = middle - counts[np.maximum(k - block, 0) - low], counts[np.minimum(k + block, len(codes)) - low] - middle
+        dot, norm = (before * after).sum(axis=1), (before * before).sum(axis=1) * (after * after).sum(axis=1)
+        similarity += np.where(norm > 0, dot / np.sqrt(np.maximum(norm, 1)), 0.0).tolist()
     depths = []
     for i, s in enumerate(similarity):
         left = right = i
@@ -82,22 +100,26 @@ class Splitter:
             raise ValueError("the overlap must be less than half the limit")
         self.e, self.limit, self.overlap = e, limit, overlap
 
-    def pieces(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(first token, end token, tokens of the piece by itself, text) of the pieces of a text."""
-        words, sizes = self.e.word_sizes(text)
+    def pieces(self, text: str, words: list[str] | None = None) -> list[tuple[int, int, int, str]]:
+        """(first token, end token, tokens of the piece by itself, text) of the pieces of a text (and its words, if known)."""
+        words = self.e.words(text) if words is None else words
+        sizes = self.e.sizes(words)
         total = sum(sizes)
         if total <= self.limit:
             return [(0, total, total, text)]
         tokens, raw = self.e.vocabulary.tokens, text.encode("utf-8")
         lengths = [len(tokens[t]) for w in words for t in self.e.memory[w]]
-        byte_at = np.concatenate([[0], np.cumsum(lengths)])
-        ends = np.cumsum(sizes)  # token position after each word
-        whole = [(raw[b] & 0xC0) != 0x80 if b < len(raw) else True for b in byte_at.tolist()]  # a character starts there
+        byte_at = [0, *accumulate(lengths)]
+        ends = list(accumulate(sizes))  # token position after each word
+
+        def whole(position: int) -> bool:
+            """Whether a character starts at this token."""
+            return byte_at[position] == len(raw) or (raw[byte_at[position]] & 0xC0) != 0x80
+
         strengths = boundary_strengths(words)
         natural = [i for i, s in enumerate(strengths) if s >= SENTENCE]
         depths = valley_depths(words, natural)
-        natural_at, word_at = [int(ends[i]) for i in natural], [int(ends[i]) for i, s in enumerate(strengths) if s == WORD]
-        any_at = [int(x) for x in ends]
+        natural_at, word_at, any_at = [ends[i] for i in natural], [ends[i] for i, s in enumerate(strengths) if s == WORD], ends
 
         def cut(start: int, most: int) -> int:
             low = start + self.limit // 2
@@ -110,7 +132,7 @@ class Splitter:
                 if k and places[k - 1] > low:
                     return places[k - 1]
             end = most
-            while not whole[end]:
+            while not whole(end):
                 end -= 1
             return end
 
@@ -128,7 +150,7 @@ class Splitter:
             if end == total:
                 return out
             start = end - self.overlap
-            while not whole[start]:
+            while not whole(start):
                 start -= 1
 
 
@@ -144,10 +166,11 @@ def split_texts(df: DataFrame, record: str, text: str, *, limit: int = 512, over
         for batch in batches:
             for part in slices(batch, 1, rows=64):
                 texts = part.column(1).to_pylist()
-                e.learn([e.words(t) for t in texts if t])
+                words = [e.words(t) if t else [] for t in texts]
+                e.learn(words)
                 at, rows = [], []
                 for i, t in enumerate(texts):
-                    found = splitter.pieces(t) if t else [(0, 0, 0, t)]
+                    found = splitter.pieces(t, words[i]) if t else [(0, 0, 0, t)]
                     at += [i] * len(found)
                     rows += [(k, len(found), *x) for k, x in enumerate(found, 1)]
                 columns = list(zip(*rows))
@@ -156,7 +179,7 @@ def split_texts(df: DataFrame, record: str, text: str, *, limit: int = 512, over
 
     kind = df.schema[record].dataType.simpleString()
     schema = f"{record} {kind}, piece bigint, n_pieces bigint, first_token bigint, end_token bigint, n_tokens bigint, text string"
-    return df.select(record, df[text].cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(df.select(record, df[text].cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def oversized(pieces: DataFrame, record: str) -> DataFrame:

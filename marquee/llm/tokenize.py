@@ -153,11 +153,19 @@ class TrieEncoder:
             offsets.append(len(ids))
         return np.array(offsets, np.int32), np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)
 
+    def sizes(self, words: list[str]) -> list[int]:
+        """The number of tokens of each word."""
+        memory = self.memory
+        try:
+            return [len(memory[w]) for w in words]
+        except KeyError:
+            self.learn([words])
+            return [len(self.memory[w]) for w in words]
+
     def word_sizes(self, text: str) -> tuple[list[str], list[int]]:
         """The words of a text and the number of tokens of each."""
         words = self.words(text)
-        self.learn([words])
-        return words, [len(self.memory[w]) for w in words]
+        return words, self.sizes(words)
 
 
 _encoders: dict[int, TrieEncoder] = {}
@@ -184,6 +192,12 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 8 <<
         yield batch.slice(start)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Texts over all cores: an input of few partitions is dealt out, so that one long file doesn't keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(3 * cores)
+
+
 def token_ids(df: DataFrame, record: str, text: str, *, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(record, ids): the token ids of each text, without special tokens; an empty list for empty and null texts."""
     ship(df.sparkSession)
@@ -197,7 +211,7 @@ def token_ids(df: DataFrame, record: str, text: str, *, vocabulary: str = "byte_
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [record, "ids"])
 
     source = df.select(record, df[text].cast("string").alias("text"))
-    return source.mapInArrow(run, f"{record} {df.schema[record].dataType.simpleString()}, ids array<int>")
+    return spread(source).mapInArrow(run, f"{record} {df.schema[record].dataType.simpleString()}, ids array<int>")
 
 
 def token_counts(df: DataFrame, text: str, *, keep: list[str], count: str = "n_tokens", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -214,4 +228,4 @@ def token_counts(df: DataFrame, text: str, *, keep: list[str], count: str = "n_t
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(np.diff(offsets).astype(np.int64))], [*keep, count])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, `{count}` bigint")
+    return spread(source).mapInArrow(run, f"{fields}, `{count}` bigint")
