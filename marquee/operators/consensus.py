@@ -1,12 +1,12 @@
 """The consensus round machine (CON): a group is shown items round by round and votes until one item has everybody's like.
 
 A session is pure Python with explicit state; Spark runs one per (parameters, group), keyed so that a session's rows meet
-in one task: applyInPandas for batches, transformWithStateInPandas-style streams call the same step function. Chance comes
-from hashes of (seed, group, round, user, item), so a run is reproducible wherever it is computed.
+in one task. Chance comes from hashes of (seed, group, round, user, item), so a run is the same wherever it is computed.
 
 Rules: likes of an item add up over rounds and make a match when they equal the number of members (option
-distinct_likers: a member counts once); a round-0 queue is empty; policies are capped by queue and window; ties in scores
-and priorities go to the smaller item id; positive bias makes members stricter. Groups without candidates end unmatched.
+distinct_likers: a member counts once); a round-0 queue is empty; policies are capped by queue and window; a member sees an
+item once a round, either new or offered anew; ties in scores and priorities go to the smaller item id; positive bias makes
+members stricter. Groups without candidates end unmatched.
 """
 
 from __future__ import annotations
@@ -174,15 +174,20 @@ class Session:
                 out.append(i)
         return out
 
-    def _new_items(self, user: int, n: int) -> list[int]:
-        """The next n items for a member; a shared slate is ranked once a round and each member takes its head."""
+    def _new_items(self, user: int, n: int, without: frozenset[int] = frozenset()) -> list[int]:
+        """The next n items for a member; a shared slate is ranked once a round and each member takes its head.
+
+        What is shown anew leaves the member's queue, so nobody is asked twice about one item.
+        """
         if self.p.engine == "group":
-            picked = self._best(self.profile, n, self.slate_shown | self.excluded)
+            picked = self._best(self.profile, n, self.slate_shown | self.excluded | without)
         else:
             row = self.users.index(user)
             values = self.own[row] if self.p.engine == "sts" else self.scores[row]
-            picked = self._best(values, n, self.shown[user] | self.excluded)
+            picked = self._best(values, n, self.shown[user] | self.excluded | without)
         self.shown[user].update(picked)
+        for i in picked:
+            self.queue[user].pop(i, None)
         return picked
 
     def _slate(self, n: int) -> list[int]:
@@ -305,7 +310,9 @@ class Session:
         out = {}
         for u in self.users:
             again = min(policy_size(p, k, len(self.queue[u])), len(self.queue[u]), p.w)
-            out[u] = self._new_items(u, p.w - again) + self._offered(u, again)
+            offered = self._offered(u, again)
+            self.shown[u].update(offered)
+            out[u] = self._new_items(u, p.w - again, frozenset(offered)) + offered
         if p.engine == "group":
             self.slate_shown.update(*(set(v) for v in out.values()))
         self.round += 1
