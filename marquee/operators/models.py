@@ -30,9 +30,12 @@ def popular_items(rated: DataFrame, n: int) -> DataFrame:
     return rated.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(n).select("item_id")
 
 
-def recommend_unseen(scores: DataFrame, rated: DataFrame, k: int) -> DataFrame:
-    """REC4, JOI3, WIN4: the k best of (item_id, score) for every user among items not rated; seen items always leave."""
-    pool = scores.orderBy(F.desc("score"), "item_id")
+def recommend_unseen(scores: DataFrame, rated: DataFrame, k: int, most: int = 1000) -> DataFrame:
+    """REC4, JOI3, WIN4: the k best of (item_id, score) for every user among items not rated; seen items always leave.
+
+    Only the `most` best items are looked at (they are broadcast); a user who has rated nearly all of them gets fewer.
+    """
+    pool = scores.orderBy(F.desc("score"), "item_id").limit(most)
     users = rated.select("user_id").distinct()
     fresh = users.crossJoin(F.broadcast(pool)).join(rated.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return top_k(fresh, ["user_id"], "score", "item_id", k)
@@ -179,7 +182,7 @@ def content_scores(rated: DataFrame, tags: DataFrame, candidates: DataFrame) ->
     profile = rated.join(vectors, "item_id").groupBy("user_id", "genre").agg(F.sum(F.col("rating") * F.col("x")).alias("p"))
     length = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("len"))
     wanted = vectors.join(candidates, "item_id", "left_semi")
-    dots = profile.join(F.broadcast(wanted), "genre").groupBy("user_id", "item_id").agg(F.sum(F.col("p") * F.col("x")).alias("dot"))
+    dots = profile.join(wanted, "genre").groupBy("user_id", "item_id").agg(F.sum(F.col("p") * F.col("x")).alias("dot"))
     return dots.join(length, "user_id").select("user_id", "item_id", (F.col("dot") / F.col("len")).alias("score"))
 
 
