@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.operators.models import Ease
 from marquee.session import ship
 
 
@@ -153,6 +154,7 @@ class Session:
     shown: dict[int, set[int]] = field(default_factory=dict)  # by user, new items offered so far
     slate_shown: set[int] = field(default_factory=set)
     excluded: set[int] = field(default_factory=set)
+    orders: dict[int, list[int]] = field(default_factory=dict)  # items best first by member's row, -1 for the profile
 
     def __post_init__(self):
         for u in self.users:
@@ -164,13 +166,16 @@ class Session:
 
     # Engines (CON13, CON14, CON15)
 
-    def _best(self, values: np.ndarray, n: int, without: set[int]) -> list[int]:
-        order = np.lexsort((self.items, -np.round(values, 9)))
+    def _best(self, row: int, n: int, without: set[int]) -> list[int]:
+        """The n best items of a member's row, -1 for the group profile; an order holds until its scores move."""
+        if row not in self.orders:
+            values = self.profile if row < 0 else self.own[row] if self.p.engine == "sts" else self.scores[row]
+            self.orders[row] = self.items[np.lexsort((self.items, -np.round(values, 9)))].tolist()
         out = []
-        for k in order:
+        for i in self.orders[row]:
             if len(out) == n:
                 break
-            if (i := int(self.items[k])) not in without:
+            if i not in without:
                 out.append(i)
         return out
 
@@ -180,18 +185,16 @@ class Session:
         What is shown anew leaves the member's queue, so nobody is asked twice about one item.
         """
         if self.p.engine == "group":
-            picked = self._best(self.profile, n, self.slate_shown | self.excluded | without)
+            picked = self._best(-1, n, self.slate_shown | self.excluded | without)
         else:
-            row = self.users.index(user)
-            values = self.own[row] if self.p.engine == "sts" else self.scores[row]
-            picked = self._best(values, n, self.shown[user] | self.excluded | without)
+            picked = self._best(self.users.index(user), n, self.shown[user] | self.excluded | without)
         self.shown[user].update(picked)
         for i in picked:
             self.queue[user].pop(i, None)
         return picked
 
     def _slate(self, n: int) -> list[int]:
-        picked = self._best(self.profile, n, self.slate_shown)
+        picked = self._best(-1, n, self.slate_shown)
         self.slate_shown.update(picked)
         return picked
 
@@ -204,6 +207,7 @@ class Session:
         for i, s in stars.items():
             k = self.place[i]
             self.profile[k] = (1 - self.p.alpha) * self.profile[k] + self.p.alpha * sum(s) / len(s)
+        self.orders.pop(-1, None)
 
     def _follow(self, votes: dict[int, dict[int, int]], rate: float = 0.05, margin: float = 1e-3, most: int = 64, blend: float = 0.6) -> None:
         """CON14: liked items are moved above disliked ones on each member's simplex, at most so many times a round; then
@@ -221,6 +225,7 @@ class Session:
         weight = np.array([1 + len(self.seen[u]) for u in self.users], float)
         together = (self.own * weight[:, None]).sum(axis=0) / weight.sum()
         self.own = blend * self.own + (1 - blend) * together
+        self.orders = {k: v for k, v in self.orders.items() if k < 0}
 
     # Redistribution (CON1-CON5, CON22)
 
@@ -345,6 +350,40 @@ def play(session: Session) -> tuple[list[tuple], list[tuple]]:
     return log, found
 
 
+class Candidates:
+    """Groups with their members' ratings, scored by an item model in the task that plays them: every member has a score of
+    every item of the model, 0 without ratings. Scores are many times the ratings, so only ratings are shuffled."""
+
+    def __init__(self, groups: DataFrame, rated: DataFrame, model: Ease):
+        self.model = model
+        member = groups.select("group_id", F.explode("members").alias("user_id"))
+        chosen = rated.join(F.broadcast(rated.sparkSession.createDataFrame([(i,) for i in model.items], "item_id bigint")), "item_id", "left_semi")
+        cells = member.join(chosen, "user_id").groupBy("group_id").agg(F.collect_list(F.struct("user_id", "item_id", F.col("rating").cast("double").alias("rating"))).alias("cells"))
+        self.frame = groups.select("group_id", "members").join(cells, "group_id", "left").select("group_id", "members", F.col("cells.user_id").alias("users"), F.col("cells.item_id").alias("items"), F.col("cells.rating").alias("ratings"))
+
+    def played(self, params: list[Params], rows: Callable[[Params, Session], list[tuple]], schema: str) -> DataFrame:
+        ids, b = np.array(self.model.items, np.int64), self.model.b
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for r in batch.itertuples():
+                    users = sorted(int(u) for u in r.members)
+                    scores = np.zeros((len(users), len(ids)))
+                    if r.users is not None:
+                        mine, cols, values = np.searchsorted(users, r.users), np.searchsorted(ids, r.items), np.asarray(r.ratings)
+                        order = np.lexsort((cols, mine))  # sums don't depend on the order of rows
+                        for k in range(len(users)):
+                            of = order[mine[order] == k]
+                            scores[k] = np.round((values[of, None] * b[cols[of]]).sum(axis=0), 9)
+                    out += rows(params[int(r.param)], Session(params[int(r.param)], int(r.group_id), users, ids, scores))
+                yield _typed(out, schema)
+
+        spark = self.frame.sparkSession
+        spread = spark.sparkContext.defaultParallelism * 4
+        return _keyed(self.frame, params).repartition(spread, "param", "group_id").mapInPandas(run, schema)
+
+
 def _sessions(frame: pd.DataFrame, params: list[Params]) -> Iterator[tuple[Params, Session]]:
     group = int(frame.group_id.iloc[0])
     table = frame.pivot_table(index="user_id", columns="item_id", values="score", aggfunc="max", fill_value=0.0).sort_index().sort_index(axis=1)
@@ -356,40 +395,49 @@ _LOG = "params string, group_id bigint, round int, user_id bigint, pos int, item
 _OUT = "params string, w int, bias double, group_id bigint, n_members int, found_round int, item_id bigint, rounds int, cards double"
 
 
-def _keyed(scores: DataFrame, params: list[Params]) -> DataFrame:
-    """Scores (group_id, user_id, item_id, score) once for every parameter row, so that sweeps spread over tasks."""
-    spark = scores.sparkSession
+def _typed(rows: list[tuple], schema: str) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    return out.astype({"found_round": "Int32", "item_id": "Int64"}) if schema == _OUT else out
+
+
+def _keyed(frame: DataFrame, params: list[Params]) -> DataFrame:
+    """Rows once for every parameter row, so that sweeps spread over tasks."""
+    spark = frame.sparkSession
     ship(spark)
     numbers = spark.range(len(params)).select(F.col("id").cast("int").alias("param"))
-    return scores.select("group_id", "user_id", "item_id", "score").crossJoin(F.broadcast(numbers))
+    return frame.crossJoin(F.broadcast(numbers))
 
 
-def round_log(scores: DataFrame, params: list[Params]) -> DataFrame:
-    """Everything shown and voted: (params, group_id, round, user_id, pos, item_id, vote)."""
+def _played(scores: DataFrame | Candidates, params: list[Params], rows: Callable[[Params, Session], list[tuple]], schema: str) -> DataFrame:
+    """The rows of every session over Candidates or over scores (group_id, user_id, item_id, score)."""
+    if isinstance(scores, Candidates):
+        return scores.played(params, rows, schema)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for p, session in _sessions(frame, [params[int(frame.param.iloc[0])]]):
-            rows += [(p.name, session.group, *r) for r in play(session)[0]]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _LOG.split(", ")])
+        return _typed([x for p, session in _sessions(frame, [params[int(frame.param.iloc[0])]]) for x in rows(p, session)], schema)
 
-    return _keyed(scores, params).groupBy("param", "group_id").applyInPandas(run, _LOG)
+    return _keyed(scores.select("group_id", "user_id", "item_id", "score"), params).groupBy("param", "group_id").applyInPandas(run, schema)
 
 
-def outcomes(scores: DataFrame, params: list[Params]) -> DataFrame:
-    """One row per parameters and group: first round with a match (null without), its item, rounds played, cards seen."""
+def _log_rows(p: Params, session: Session) -> list[tuple]:
+    return [(p.name, session.group, *r) for r in play(session)[0]]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for p, session in _sessions(frame, [params[int(frame.param.iloc[0])]]):
-            log, found = play(session)
-            first = found[0] if found else (None, None)
-            cards = float(p.w * (first[0] + 1)) if found else None
-            rows.append((p.name, p.w, p.bias, session.group, len(session.users), first[0], first[1], max((r[0] for r in log), default=-1) + 1, cards))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
-        return out.astype({"found_round": "Int32", "item_id": "Int64"})
-
-    return _keyed(scores, params).groupBy("param", "group_id").applyInPandas(run, _OUT)
+
+def _outcome_row(p: Params, session: Session) -> list[tuple]:
+    log, found = play(session)
+    first = found[0] if found else (None, None)
+    cards = float(p.w * (first[0] + 1)) if found else None
+    return [(p.name, p.w, p.bias, session.group, len(session.users), first[0], first[1], max((r[0] for r in log), default=-1) + 1, cards)]
+
+
+def round_log(scores: DataFrame | Candidates, params: list[Params]) -> DataFrame:
+    """Everything shown and voted: (params, group_id, round, user_id, pos, item_id, vote)."""
+    return _played(scores, params, _log_rows, _LOG)
+
+
+def outcomes(scores: DataFrame | Candidates, params: list[Params]) -> DataFrame:
+    """One row per parameters and group: first round with a match (null without), its item, rounds played, cards seen."""
+    return _played(scores, params, _outcome_row, _OUT)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -47,12 +47,13 @@ def spd_inverse(matrix: np.ndarray) -> np.ndarray:
     It keeps clear of the threads of a linear algebra library, which may wait for ever in a process that has forked.
     """
     a = matrix.astype(float).copy()
+    step = np.empty_like(a)
     for k in range(len(a)):
         pivot = a[k, k]
         if pivot <= 0:
             raise ValueError("the matrix is not positive definite")
         row, col = a[k] / pivot, a[:, k].copy()
-        a -= col[:, None] * row[None, :]
+        a -= np.multiply(col[:, None], row[None, :], out=step)
         a[k], a[:, k], a[k, k] = row, -col / pivot, 1 / pivot
     return a
 
@@ -68,12 +69,11 @@ class Ease:
             raise ValueError(f"a dense model takes at most {MOST_ITEMS} items")
         self.spark, self.norm = rated.sparkSession, norm
         self.items = sorted(r.item_id for r in popular_items(rated, n_items).collect())
-        place = {i: k for k, i in enumerate(self.items)}
         chosen = rated.join(F.broadcast(self.spark.createDataFrame([(i,) for i in self.items], "item_id bigint")), "item_id", "left_semi")
-        cells = gram(chosen, "user_id", "item_id", "rating").select("i", "j", "g").toPandas()  # at most n_items squared / 2 cells
+        cells = gram(chosen, "user_id", "item_id", "rating").select("i", "j", "g").toArrow()  # at most n_items squared / 2 cells
         self.g = np.zeros((len(self.items), len(self.items)))
-        i, j = cells.i.map(place).to_numpy(int), cells.j.map(place).to_numpy(int)
-        self.g[i, j] = self.g[j, i] = cells.g
+        i, j = (np.searchsorted(self.items, cells[c].to_numpy()) for c in "ij")
+        self.g[i, j] = self.g[j, i] = cells["g"].to_numpy()
         self.b = np.zeros_like(self.g)
 
     def fit(self, penalty: float) -> Ease:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marquee.operators import consensus as C
 from marquee.operators import metrics as E
 from marquee.operators.matrix import top_k
-from marquee.operators.models import Ease, group_scores
+from marquee.operators.models import MOST_ITEMS, Ease, group_scores
 from marquee.plans.registry import Book
 from marquee.sources import views as V
 from marquee.sources.views import GROUPS, RATINGS, VOTES
@@ -17,11 +17,10 @@ add = book.add
 R = V.ratings
 
 
-def candidates(s, d, n=60):
-    """Members' scores of the most popular items by the closed-form model, on the scale of the ratings."""
+def candidates(s, d, width=40, size=3):
+    """Groups over all items the closed-form model may have: more than the 100 cards a session shows, for every member."""
     rated = R(s, d)
-    scores = Ease(rated, n).fit(500.0).scores(rated, n, mask_seen=False).select("user_id", "item_id", F.col("score"))
-    return C.group_candidates(V.groups(rated), scores)
+    return C.Candidates(V.groups(rated, width, size), rated, Ease(rated, MOST_ITEMS).fit(500.0))
 
 
 _ROUND0 = f"(SELECT * FROM {VOTES} WHERE round = 0)"
@@ -117,10 +116,7 @@ def _(s, d):
 
 @add("con21_large_groups")
 def _(s, d):
-    rated = R(s, d)
-    scores = Ease(rated, 60).fit(500.0).scores(rated, 60, mask_seen=False).select("user_id", "item_id", "score")
-    large = C.group_candidates(V.groups(rated, 150, 5), scores)
-    return C.summary(C.outcomes(large, [p for p in C.catalogue(10) if p.name in ("A1", "H0", "S0")])).select("params", F.round("success_rate", 4).alias("success_rate"), "n_groups")
+    return C.summary(C.outcomes(candidates(s, d, 150, 5), [p for p in C.catalogue(10) if p.name in ("A1", "H0", "S0")])).select("params", F.round("success_rate", 4).alias("success_rate"), "n_groups")
 
 
 @add("met2_group_ndcg", f"""WITH t AS (SELECT user_id, item_id FROM {RATINGS} WHERE rating >= 4.5), k AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS place FROM {_MEAN}), g AS (SELECT group_id, unnest(members) AS user_id FROM {GROUPS}),

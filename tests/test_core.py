@@ -216,3 +216,29 @@ def test_outcomes_equal_serial_play(spark):
     scores = spark.createDataFrame([(7, u, i, float(s["A0"].scores[u, i])) for u in range(3) for i in range(20)], "group_id bigint, user_id bigint, item_id bigint, score double")
     got = {r.params: (r.found_round, r.item_id) for r in C.outcomes(scores, p).collect()}
     assert got == {n: (C.play(x)[1] or [(None, None)])[0] for n, x in s.items()}
+
+
+def test_every_member_plays_the_whole_round_budget(spark):
+    rng = random.Random(4)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(8) for i in rng.sample(range(130), 60)] + [(8, 500, 4.0)]
+    rated = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+    groups = spark.createDataFrame([(1, [0, 1, 2]), (2, [6, 7, 8])], "group_id bigint, members array<bigint>")
+    model = O.Ease(rated.where("item_id < 500"), O.MOST_ITEMS).fit(3.0)  # user 8 has rated nothing the model has
+    chosen = C.Candidates(groups, rated, model)
+    strict = [C.Params("S0", "sync", "group", bias=1000.0), C.Params("A1", t=9, bias=1000.0)]  # nobody likes anything
+    got = C.outcomes(chosen, strict).collect()
+    assert len(got) == 4 and all((r.n_members, r.rounds, r.found_round) == (3, 10, None) for r in got)
+    log = C.round_log(chosen, strict[:1]).collect()
+    assert len(log) == 2 * 3 * 100 and len({(r.group_id, r.user_id, r.item_id) for r in log}) == len(log)
+    scores = {(r.user_id, r.item_id): r.score for r in model.scores(rated.where("item_id < 500"), 130, False).collect()}
+    long = spark.createDataFrame([(1, u, i, scores[u, i]) for u in range(3) for i in model.items], "group_id bigint, user_id bigint, item_id bigint, score double")
+    free = C.catalogue(10)
+    assert sorted(map(tuple, C.outcomes(C.Candidates(groups.where("group_id = 1"), rated, model), free).collect()), key=str) == sorted(map(tuple, C.outcomes(long, free).collect()), key=str)
+
+
+def test_the_consensus_queries_play_all_items_of_the_model(spark):
+    from marquee.plans.consensus_queries import candidates
+
+    chosen = candidates(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/ratings.parquet").where("userId is not null and movieId is not null and rating between 0.5 and 5 and not isnan(rating)").select("movieId").distinct().count()
+    assert len(chosen.model.items) == min(n, O.MOST_ITEMS) >= 100
