@@ -172,20 +172,34 @@ def residual_factors(rated: DataFrame, rank: int = 20, seed: int = 42) -> tuple[
     return mu, users, items, *factors(rest, rank, False, seed)
 
 
+def _tag_profiles(rated: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """REC10: item vectors (item_id, genre, x), user profiles (user_id, genre, p) and their lengths (user_id, len)."""
+    size = tags.groupBy("item_id").agg(F.count("*").alias("k"))
+    vectors = tags.join(size, "item_id").select("item_id", "genre", (1 / F.sqrt("k")).alias("x"))
+    profile = rated.join(vectors, "item_id").groupBy("user_id", "genre").agg(F.sum(F.col("rating") * F.col("x")).alias("p"))
+    length = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("len"))
+    return vectors, profile, length
+
+
 def content_scores(rated: DataFrame, tags: DataFrame, candidates: DataFrame) -> DataFrame:
     """REC10: (user_id, item_id, score): cosine of a user's rating-weighted mean tag vector and candidates' tag vectors.
 
     tags: (item_id, genre) one row a tag; vectors are even over an item's tags and of length one.
     """
-    size = tags.groupBy("item_id").agg(F.count("*").alias("k"))
-    vectors = tags.join(size, "item_id").select("item_id", "genre", (1 / F.sqrt("k")).alias("x"))
-    profile = rated.join(vectors, "item_id").groupBy("user_id", "genre").agg(F.sum(F.col("rating") * F.col("x")).alias("p"))
-    length = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("len"))
+    vectors, profile, length = _tag_profiles(rated, tags)
     wanted = vectors.join(candidates, "item_id", "left_semi")
     dots = profile.join(wanted, "genre").groupBy("user_id", "item_id").agg(F.sum(F.col("p") * F.col("x")).alias("dot"))
     return dots.join(length, "user_id").select("user_id", "item_id", (F.col("dot") / F.col("len")).alias("score"))
 
 
+def content_pair_scores(rated: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFrame:
+    """REC10: content_scores of wanted (user_id, item_id) pairs only; none where user and item share no tag."""
+    vectors, profile, length = _tag_profiles(rated, tags)
+    pairs = wanted.select("user_id", "item_id").join(vectors, "item_id")
+    dots = pairs.join(profile, ["user_id", "genre"]).groupBy("user_id", "item_id").agg(F.sum(F.col("p") * F.col("x")).alias("dot"))
+    return dots.join(length, "user_id").select("user_id", "item_id", (F.col("dot") / F.col("len")).alias("score"))
+
+
 #: REC11: aggregations of members' scores of an item by name; a caller may add its own.
 AGGREGATIONS: dict[str, Callable[[str], Column]] = {
     "mean": lambda c: F.avg(c),

@@ -166,7 +166,7 @@ def _(s, d):
 def _(s, d):
     rated = R(s, d)
     _, held = split(s, d)
-    content = O.content_scores(rated, V.genres(s, d).where(f"genre in {_MAIN}"), O.popular_items(rated, 50)).join(held, ["user_id", "item_id"], "left_semi")
+    content = O.content_pair_scores(rated, V.genres(s, d).where(f"genre in {_MAIN}"), held)
     return O.hybrid_scores(content, O.knn_predictions(rated, O.item_neighbours(rated, 20, 3), held)).withColumn("score", F.round("score", 4))
 
 

@@ -242,3 +242,20 @@ def test_the_consensus_queries_play_all_items_of_the_model(spark):
     chosen = candidates(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/ratings.parquet").where("userId is not null and movieId is not null and rating between 0.5 and 5 and not isnan(rating)").select("movieId").distinct().count()
     assert len(chosen.model.items) == min(n, O.MOST_ITEMS) >= 100
+
+
+def test_hybrid_scores_have_the_content_of_every_held_out_pair(spark):
+    from marquee.plans import model_queries as Q
+    from marquee.sources import views as V
+
+    d = "/root/testdata/sf0.001"
+    rated = V.ratings(spark, d)
+    _, held = Q.split(spark, d)
+    tags = V.genres(spark, d).where(f"genre in {Q._MAIN}")
+    every = O.content_scores(rated, tags, tags.select("item_id").distinct())
+    content = {(r.user_id, r.item_id): r.score for r in every.join(held, ["user_id", "item_id"], "left_semi").collect()}
+    near = {(r.user_id, r.item_id): r.est for r in O.knn_predictions(rated, O.item_neighbours(rated, 20, 3), held).collect()}
+    got = {(r.user_id, r.item_id): r.score for r in Q.QUERIES["rec14_hybrid_scores"](spark, d).collect()}
+    assert got.keys() == near.keys() and all(v == pytest.approx(0.2 * content.get(k, 0) + 0.8 * near[k], abs=1e-4) for k, v in got.items())
+    popular = {r.item_id for r in O.popular_items(rated, 50).collect()}
+    assert any(i not in popular for _, i in content)
