@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -67,8 +68,15 @@ def _distances(centres: np.ndarray):
     return F.array(*[F.aggregate(F.zip_with("v", F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in centres])
 
 
-def fuzzy_c_means(df: DataFrame, key: str, vector: str, k: int, m: float = 2.0, error: float = 0.005, most: int = 50) -> DataFrame:
-    """CLU3: (key, cluster, membership) by alternating memberships and weighted centroids until the centres rest."""
+def _unrested(name: str, most: int) -> None:
+    warnings.warn(f"{name}: the centres still move after {most} rounds; the result is not converged", RuntimeWarning, stacklevel=3)
+
+
+def fuzzy_c_means(df: DataFrame, key: str, vector: str, k: int, m: float = 2.0, error: float = 0.005, most: int = 300) -> DataFrame:
+    """CLU3: (key, cluster, membership) by alternating memberships and weighted centroids until the centres rest.
+
+    Centres that still move after `most` rounds are warned of.
+    """
     vectors = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null")
     centres = _first_centres(vectors, k)
     for _ in range(most):
@@ -80,13 +88,16 @@ def fuzzy_c_means(df: DataFrame, key: str, vector: str, k: int, m: float = 2.0,
         shift, centres = float(np.abs(moved - centres).max()), moved
         if shift < error:
             break
+    else:
+        _unrested("fuzzy_c_means", most)
     return long.select(F.col("key").alias(key), "cluster", "membership")
 
 
-def pearson_k_means(df: DataFrame, key: str, vector: str, k: int, tolerance: float = 1e-4, most: int = 30) -> tuple[DataFrame, float]:
+def pearson_k_means(df: DataFrame, key: str, vector: str, k: int, tolerance: float = 1e-4, most: int = 300) -> tuple[DataFrame, float]:
     """CLU4, CLU5: (key, cluster) by greatest correlation with mean centroids, and the sum of 1 - correlation.
 
-    Correlation is the cosine of centred vectors. An empty cluster keeps its centre.
+    Correlation is the cosine of centred vectors. An empty cluster keeps its centre. Centres that still move after `most`
+    rounds are warned of.
     """
     raw = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null")
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
@@ -110,6 +121,8 @@ def pearson_k_means(df: DataFrame, key: str, vector: str, k: int, tolerance: flo
         centres = moved
         if done:
             break
+    else:
+        _unrested("pearson_k_means", most)
     result = placed(centres)
     cost = result.agg(F.sum(1 - F.col("best"))).first()[0] or 0.0
     return result.select(F.col("key").alias(key), "cluster"), cost

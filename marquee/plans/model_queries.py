@@ -91,7 +91,7 @@ def _(s, d):
 
 @add("rec8_user_embeddings")
 def _(s, d):
-    users, _ = O.factors(R(s, d), 16, implicit=True, sweeps=4)
+    users, _ = O.factors(R(s, d), 16, implicit=True)
     return users.select(F.col("id").cast("bigint").alias("user_id"), F.size("features").alias("dims"))
 
 
@@ -243,12 +243,12 @@ def _(s, d):
 
 @add("clu3_fuzzy_c_means")
 def _(s, d):
-    return C.fuzzy_c_means(table(s, d, "embeddings"), "vec_id", "embedding", 5, most=5).withColumn("membership", F.round("membership", 4))
+    return C.fuzzy_c_means(table(s, d, "embeddings"), "vec_id", "embedding", 5).withColumn("membership", F.round("membership", 4))
 
 
 @add("clu4_pearson_k_means")
 def _(s, d):
-    return C.pearson_k_means(table(s, d, "embeddings"), "vec_id", "embedding", 8, most=6)[0]
+    return C.pearson_k_means(table(s, d, "embeddings"), "vec_id", "embedding", 8)[0]
 
 
 _C = f"(SELECT user_id, item_id, rating, (user_id * 2654435761 + item_id * 40503 + 42) % 1000003 AS h FROM {RATINGS})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marquee.functions import scalars as S
 from marquee.operators import consensus as C
 from marquee.operators import models as O
-from marquee.operators.cluster import knee, standardised
+from marquee.operators.cluster import fuzzy_c_means, knee, pearson_k_means, standardised
 from marquee.operators.filters import k_core
 from marquee.operators.groups import disjoint_groups, hold_out, random_groups, similar_groups, validate_pairs
 from marquee.operators.heavy_keys import heavy_keys, key_stats
@@ -259,3 +259,37 @@ def test_hybrid_scores_have_the_content_of_every_held_out_pair(spark):
     assert got.keys() == near.keys() and all(v == pytest.approx(0.2 * content.get(k, 0) + 0.8 * near[k], abs=1e-4) for k, v in got.items())
     popular = {r.item_id for r in O.popular_items(rated, 50).collect()}
     assert any(i not in popular for _, i in content)
+
+
+def _pearson_labels(v, first, rounds):
+    """Labels of correlation k-means by NumPy after at most so many rounds, and the number played."""
+    unit = lambda x: (x - x.mean(axis=1, keepdims=True)) / np.linalg.norm(x - x.mean(axis=1, keepdims=True), axis=1, keepdims=True)
+    v, played = unit(v), 0
+    centres = v[first]
+    for played in range(1, rounds + 1):
+        labels = (v @ unit(centres).T).argmax(axis=1)
+        moved = np.array([v[labels == k].mean(axis=0) if (labels == k).any() else c for k, c in enumerate(centres)])
+        done, centres = np.allclose(moved, centres, atol=1e-4), moved
+        if done:
+            break
+    return (v @ unit(centres).T).argmax(axis=1), played
+
+
+def test_pearson_k_means_plays_until_centres_rest(spark):
+    from marquee.plans.model_queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id is not null and embedding is not null").collect())
+    ids, v = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+    first = sorted(range(len(ids)), key=lambda k: (ids[k] * 40503 % 1000003, ids[k]))[:8]
+    wanted, played = _pearson_labels(v, first, 1000)
+    assert played > 6 and (wanted != _pearson_labels(v, first, 6)[0]).any()
+    got = {r.vec_id: r.cluster for r in QUERIES["clu4_pearson_k_means"](spark, d).collect()}
+    assert [got[i] for i in ids] == wanted.tolist()
+
+
+def test_centres_that_still_move_are_reported(spark):
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(np.random.default_rng(5).normal(size=(60, 4)))], "id bigint, v array<double>")
+    for run in (pearson_k_means, fuzzy_c_means):
+        with pytest.warns(RuntimeWarning, match="still move after 1 rounds"):
+            run(df, "id", "v", 4, most=1)
