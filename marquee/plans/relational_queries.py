@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marquee.operators import aggregates as A
 from marquee.operators import filters as L
 from marquee.operators import matrix as M
+from marquee.operators.ranking import unseen_summary
 from marquee.plans.registry import Book
 from marquee.session import table
 from marquee.sources import views as V
@@ -240,6 +241,11 @@ def _(s, d):
     return left.select("user_id", F.size(rest).cast("bigint").alias("n_unseen"), F.array_min(rest).alias("first_item")).where("n_unseen > 0")
 
 
+@add("joi11_unseen_all", f"WITH r AS {RATINGS} SELECT user_id, count(*) AS n_unseen, min(item_id) AS first_item FROM (SELECT u.user_id, t.item_id FROM (SELECT DISTINCT user_id FROM r) u, (SELECT DISTINCT item_id FROM r) t EXCEPT SELECT user_id, item_id FROM r) GROUP BY 1")
+def _(s, d):
+    return unseen_summary(R(s, d))
+
+
 @add("joi12_full_outer", f"SELECT coalesce(n.item_id, i.item_id) AS item_id, coalesce(n.n, 0) AS n_ratings, coalesce(len(i.genres), 0) AS n_genres FROM {N_ITEM} n FULL JOIN {ITEMS} i ON i.item_id = n.item_id")
 def _(s, d):
     counts = R(s, d).groupBy("item_id").agg(F.count("*").alias("n_ratings"))

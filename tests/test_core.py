@@ -293,3 +293,22 @@ def test_centres_that_still_move_are_reported(spark):
     for run in (pearson_k_means, fuzzy_c_means):
         with pytest.warns(RuntimeWarning, match="still move after 1 rounds"):
             run(df, "id", "v", 4, most=1)
+
+
+def test_unseen_items_of_the_whole_catalogue(spark):
+    from marquee.operators.ranking import unseen_summary
+
+    rng = random.Random(6)
+    seen = {1: set(range(40)), 2: set(range(39)), 3: {39}, 4: {0, 1, 3}} | {u: set(rng.sample(range(40), rng.randint(1, 39))) for u in range(5, 30)}
+    rated = spark.createDataFrame([(u, 10 * i) for u, items in seen.items() for i in items], "user_id bigint, item_id bigint")
+    wanted = {u: (40 - len(items), 10 * min(set(range(40)) - items)) for u, items in seen.items() if len(items) < 40}
+    assert {r.user_id: (r.n_unseen, r.first_item) for r in unseen_summary(rated).collect()} == wanted
+
+
+@pytest.mark.parametrize("name", ["joi11_unseen_all"])
+def test_whole_queries_same_as_sql(spark, name):
+    from compare import differences
+
+    from marquee.plans import registry
+
+    assert differences(spark, "/root/testdata/sf0.01", name, registry.collect("QUERIES")[name], registry.collect("ORACLE")[name]) == ""
