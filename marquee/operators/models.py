@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.operators.matrix import corated_cosine, gram, top_k
@@ -200,6 +200,48 @@ def content_pair_scores(rated: DataFrame, tags: DataFrame, wanted: DataFrame) ->
     return dots.join(length, "user_id").select("user_id", "item_id", (F.col("dot") / F.col("len")).alias("score"))
 
 
+def content_top(rated: DataFrame, tags: DataFrame, k: int, digits: int = 4) -> DataFrame:
+    """REC10: (user_id, item_id, score, place): the k best of all tagged items by content_scores, rounded so that ties go to
+    the smaller id.
+
+    Items of one tag set score alike, so the distinct sets are scored; only a user's k best sets (by score, then their least
+    item) and the k least items of each can hold the result. The sets and those items reach the driver: tags must be few.
+    """
+    _, profile, _ = _tag_profiles(rated, tags)
+    sets = tags.groupBy("item_id").agg(F.array_sort(F.collect_set("genre")).alias("set"))
+    w = Window.partitionBy("set").orderBy("item_id")
+    heads = sets.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("set").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    found = sorted(((list(r["items"]), list(r["set"])) for r in heads.collect()), key=lambda x: x[0])
+    names = {g: i for i, g in enumerate(sorted({g for _, s in found for g in s}))}
+    x, items = np.zeros((len(names), len(found))), np.full((len(found), k), np.iinfo(np.int64).max)
+    for c, (ids, s) in enumerate(found):
+        x[[names[g] for g in s], c] = 1 / np.sqrt(len(s))
+        items[c, : len(ids)] = ids
+    listed = profile.groupBy("user_id").agg(F.collect_list("genre").alias("genres"), F.collect_list("p").alias("p"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, 2_000_000 // max(1, len(found)))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
+                p = np.zeros((len(part), len(names)))
+                rows = np.repeat(np.arange(len(part)), part.genres.map(len))
+                p[rows, [names[g] for g in np.concatenate(part.genres.to_numpy())]] = np.concatenate(part.p.to_numpy())
+                s = np.floor(p @ x / np.sqrt((p * p).sum(axis=1))[:, None] * 10**digits + 0.5) / 10**digits
+                s[(p > 0).astype(float) @ (x > 0) == 0] = -1.0  # no tag in common
+                rank = np.rint(s * 10**digits).astype(np.int64) * -len(found) + np.arange(len(found))  # ties by the least item
+                best = np.argpartition(rank, k, axis=1)[:, :k] if len(found) > k else np.broadcast_to(np.arange(len(found)), s.shape)
+                score = np.repeat(np.take_along_axis(s, best, axis=1), k, axis=1)
+                ids = items[best].reshape(len(part), -1)
+                score = np.where(ids == np.iinfo(np.int64).max, -1.0, score)
+                order = np.lexsort((ids, -score), axis=1)[:, :k]
+                ids, score = np.take_along_axis(ids, order, axis=1), np.take_along_axis(score, order, axis=1)
+                keep = score >= 0
+                yield pd.DataFrame({"user_id": np.repeat(part.user_id.to_numpy(), keep.sum(axis=1)), "item_id": ids[keep], "score": score[keep], "place": np.broadcast_to(np.arange(1, ids.shape[1] + 1), ids.shape)[keep]})
+
+    return listed.mapInPandas(run, "user_id bigint, item_id bigint, score double, place bigint")
+
+
 #: REC11: aggregations of members' scores of an item by name; a caller may add its own.
 AGGREGATIONS: dict[str, Callable[[str], Column]] = {
     "mean": lambda c: F.avg(c),

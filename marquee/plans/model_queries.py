@@ -108,6 +108,13 @@ def _(s, d):
     return top_k(scores, ["user_id"], "score", "item_id", 5).select("user_id", "item_id", "place")
 
 
+@add("rec10_content_topk_all", f"""WITH g AS (SELECT item_id, genre, 1 / sqrt(count(*) OVER (PARTITION BY item_id)) AS x FROM {GENRES} WHERE genre IN {_MAIN}), p AS (SELECT user_id, genre, sum(rating * x) AS p FROM {RATINGS} JOIN g USING (item_id) GROUP BY 1, 2), l AS (SELECT user_id, sqrt(sum(p * p)) AS len FROM p GROUP BY 1),
+    s AS (SELECT p.user_id, g.item_id, round(sum(p.p * g.x) / max(l.len), 4) AS score FROM p JOIN g USING (genre) JOIN l ON l.user_id = p.user_id GROUP BY 1, 2)
+    SELECT user_id, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS place FROM s) WHERE place <= 5""")
+def _(s, d):
+    return O.content_top(R(s, d), V.genres(s, d).where(f"genre in {_MAIN}"), 5).select("user_id", "item_id", "place")
+
+
 def _group_sql(agg):
     return f"SELECT g.group_id, r.item_id, round({agg}, 4) AS score FROM (SELECT group_id, unnest(members) AS user_id FROM {GROUPS}) g JOIN {RATINGS} r USING (user_id) GROUP BY 1, 2"
 

@@ -305,10 +305,25 @@ def test_unseen_items_of_the_whole_catalogue(spark):
     assert {r.user_id: (r.n_unseen, r.first_item) for r in unseen_summary(rated).collect()} == wanted
 
 
-@pytest.mark.parametrize("name", ["joi11_unseen_all"])
+@pytest.mark.parametrize("name", ["joi11_unseen_all", "rec10_content_topk_all"])
 def test_whole_queries_same_as_sql(spark, name):
     from compare import differences
 
     from marquee.plans import registry
 
     assert differences(spark, "/root/testdata/sf0.01", name, registry.collect("QUERIES")[name], registry.collect("ORACLE")[name]) == ""
+
+
+def test_content_top_reaches_the_long_tail(spark):
+    rng = random.Random(9)
+    genres = {i: rng.sample("abcde", rng.randint(1, 3)) for i in range(80)} | {200: ["a", "b", "c", "d", "e"], 201: ["z"]}
+    tags = spark.createDataFrame([(i, g) for i, s in genres.items() for g in s], "item_id bigint, genre string")
+    rated = spark.createDataFrame([(u, i, float(rng.randint(1, 5))) for u in range(20) for i in rng.sample(range(80), 3)] + [(99, 201, 4.0)], "user_id bigint, item_id bigint, rating double")
+    every = O.content_scores(rated, tags, tags.select("item_id").distinct()).withColumn("score", F.round("score", 4))
+    wanted = {}
+    for r in sorted(every.collect(), key=lambda r: (r.user_id, -r.score, r.item_id)):
+        wanted.setdefault(r.user_id, []).append((r.item_id, r.score))
+    got = {}
+    for r in sorted(O.content_top(rated, tags, 5).collect(), key=lambda r: (r.user_id, r.place)):
+        got.setdefault(r.user_id, []).append((r.item_id, r.score))
+    assert got == {u: rows[:5] for u, rows in wanted.items()} and got[99] == [(201, 1.0)]
