@@ -41,19 +41,19 @@ def r6(c):
 
 @add("rec1_ease_weights")
 def _(s, d):
-    return O.Ease(R(s, d), 200).fit(500.0).weights().withColumn("b", F.round("b", 6))
+    return O.Ease(R(s, d), O.MOST_ITEMS).fit(500.0).weights().withColumn("b", F.round("b", 6))
 
 
 @add("rec2_ease_top10")
 def _(s, d):
     train, _ = split(s, d)
-    return O.Ease(train, 200).fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
+    return O.Ease(train, O.MOST_ITEMS).fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
 
 
 @add("rec3_ease_columns_top10")
 def _(s, d):
     train, _ = split(s, d)
-    return O.Ease(train, 100, "col").fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
+    return O.Ease(train, O.MOST_ITEMS, "col").fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
 
 
 @add("rec4_popularity_topk", f"SELECT user_id, item_id, place FROM {RANKED}")
@@ -180,7 +180,7 @@ def _(s, d):
 @add("rec16_penalty_sweep")
 def _(s, d):
     train, held = split(s, d)
-    return O.penalty_sweep(O.Ease(train, 200), train, held, [100.0, 500.0, 1400.0], 20)
+    return O.penalty_sweep(O.Ease(train, O.MOST_ITEMS), train, held, [100.0, 500.0, 1400.0], 20)
 
 
 @add("met1_ndcg", f"WITH t AS {LIKED}, n AS (SELECT user_id, count(*) AS n FROM t GROUP BY 1), g AS (SELECT user_id, sum(1 / log2(place + 1)) AS dcg FROM {RANKED} JOIN t USING (user_id, item_id) GROUP BY 1) SELECT n.user_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda j: 1 / log2(j + 1))), 4) AS ndcg FROM n LEFT JOIN g USING (user_id)")

@@ -327,3 +327,23 @@ def test_content_top_reaches_the_long_tail(spark):
     for r in sorted(O.content_top(rated, tags, 5).collect(), key=lambda r: (r.user_id, r.place)):
         got.setdefault(r.user_id, []).append((r.item_id, r.score))
     assert got == {u: rows[:5] for u, rows in wanted.items()} and got[99] == [(201, 1.0)]
+
+
+def test_best_columns_are_those_of_a_stable_sort():
+    rng = np.random.default_rng(2)
+    for k in (1, 3, 12, 20):
+        s = np.where(rng.random((50, 12)) < 0.2, -np.inf, rng.integers(0, 4, (50, 12)).astype(float))
+        assert (O.best_columns(s, k) == np.argsort(-s, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_ease_queries_fit_all_items_the_model_may_have(spark):
+    from marquee.plans.model_queries import QUERIES, split
+
+    d = "/root/testdata/sf0.01"
+    train, _ = split(spark, d)
+    users, items = (train.select(c).distinct().count() for c in ("user_id", "item_id"))
+    assert 200 < items <= O.MOST_ITEMS
+    assert QUERIES["rec2_ease_top10"](spark, d).select("user_id").distinct().count() == users
+    rows = QUERIES["rec1_ease_weights"](spark, d)
+    n = rows.select("i").distinct().count()
+    assert n >= items and rows.where("i <> j").count() == rows.count() == n * (n - 1)
