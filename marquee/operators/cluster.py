@@ -28,7 +28,7 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def k_means(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> tuple[DataFrame, float]:
-    """CLU2: (key, cluster) by Spark's k-means, and the sum of squares within clusters."""
+    """CLU2 for one k: (key, cluster) by Spark's k-means, and the sum of squares within clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -38,7 +38,7 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> tup
 
 
 def knee(points: list[tuple[float, float]]) -> float:
-    """CLU2, CLU5: the x whose point lies furthest from the chord of a falling curve; nan for fewer than three points."""
+    """For the elbows of CLU2 and CLU5, whose sweeps over k are not built: the x whose point lies furthest from the chord of a falling curve; nan for fewer than three points."""
     if len(points) < 3:
         return math.nan
     x, y = (np.array(v, float) for v in zip(*sorted(points)))
@@ -94,7 +94,7 @@ def fuzzy_c_means(df: DataFrame, key: str, vector: str, k: int, m: float = 2.0,
 
 
 def pearson_k_means(df: DataFrame, key: str, vector: str, k: int, tolerance: float = 1e-4, most: int = 300) -> tuple[DataFrame, float]:
-    """CLU4, CLU5: (key, cluster) by greatest correlation with mean centroids, and the sum of 1 - correlation.
+    """CLU4, and one k of CLU5: (key, cluster) by greatest correlation with mean centroids, and the sum of 1 - correlation.
 
     Correlation is the cosine of centred vectors. An empty cluster keeps its centre. Centres that still move after `most`
     rounds are warned of.

@@ -70,7 +70,7 @@ def best_columns(s: np.ndarray, k: int) -> np.ndarray:
 
 
 class Ease:
-    """REC1-REC3: closed-form linear autoencoder over the most popular items.
+    """REC1, REC2, REC3 by columns (not its user-based variant): closed-form linear autoencoder over the most popular items.
 
     norm: 'row' divides row i by P_ii, 'col' column j by P_jj. The Gram matrix is computed once and reused over penalties.
     """
