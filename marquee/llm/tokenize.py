@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 from marquee.session import ship
@@ -101,7 +102,9 @@ class TrieEncoder:
         import regex
 
         self.vocabulary = vocabulary
-        self.words = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.words = pattern.findall
+        self.found = lambda text: (m.group() for m in pattern.finditer(text))  # the same one by one
         self.memory: dict[str, tuple[int, ...]] = {}
 
     def _traverse(self, words: Iterable[str]) -> None:
@@ -173,7 +176,7 @@ _encoders: dict[int, TrieEncoder] = {}
 
 def encoder(tokens: list[bytes]) -> TrieEncoder:
     """The worker's encoder; it lives as long as the Python worker, which is reused between tasks."""
-    key = hash((len(tokens), tokens[-1], tokens[len(tokens) // 2]))
+    key = xxhash.xxh3_64_intdigest(b"".join(len(t).to_bytes(4, "little") + t for t in tokens))
     if key not in _encoders:
         _encoders[key] = TrieEncoder(Vocabulary(tokens))
     return _encoders[key]
