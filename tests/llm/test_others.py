@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.frequency import marked, term_frequencies
 from marquee.llm.matching import assigned, auction, best_assignment, match_entities, variants
-from marquee.llm.mixing import mix, plan_budgets
+from marquee.llm.mixing import mix, plan_budgets, text_quality
 from marquee.llm.topn import top_items
 
 
@@ -47,16 +47,33 @@ def test_mix(spark):
     docs = [(i, "film " * rng.randint(0, 60), rng.choice(["a", "a", "a", "b", None, "z"]), 1) for i in range(400)] + [(900, None, "a", 1)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, n_tokens int")
     targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 2), ("b", 0.3, 2), ("none", 0.1, 4)], "source string, target_share double, max_repeats bigint")
-    chosen, report = mix(df, targets, slices=16)
+    chosen, report = mix(df, targets, ordered=8)
     rows, shares = chosen.collect(), {r.source: r for r in report.collect()}
     assert len({r.doc_id for r in rows}) == len(rows) and all(r.repeats <= {"a": 1, "b": 2}[r.source] for r in rows)
     assert abs(shares["a"].actual_share - 2 / 3) < 0.02 and shares["none"].mixed_tokens == 0
     assert all(r.mixed_tokens <= r.budget for r in shares.values())
-    again = {(r.doc_id, r.repeats) for r in mix(df.repartition(5), targets, slices=64)[0].collect()}
+    again = {(r.doc_id, r.repeats) for r in mix(df.repartition(5), targets, ordered=100)[0].collect()}
     assert again == {(r.doc_id, r.repeats) for r in rows}
     assert mix(df.limit(0), targets)[0].count() == 0
 
 
+def test_quality_of_texts(spark):
+    prose = "The harbour lay still that morning, and nobody on the pier had yet heard what the tide brought in."
+    texts = [prose, "日本語の映画の感想です。\nとても良かった。", "12 | 34 | ## | 5.0 | -- | 7", "buy now " * 200, (prose + "\n") * 30, "", " ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    w = {r.i: r.w for r in df.select("i", text_quality("text").alias("w")).collect()}
+    assert w[0] > 0.9 and w[1] > 0.8 and w[2] < 0.1 and w[3] < 0.05 and w[4] < 0.05 and w[5] == w[6] == w[7] == 0
+
+
+def test_prefix_sums_end_where_a_sort_says(spark):
+    rng = random.Random(9)
+    docs = [(i, "film " * rng.randint(1, 9), "a") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats bigint")
+    runs = [{r.doc_id: r.n_tokens for r in mix(df, targets, total=4000, ordered=n)[0].collect()} for n in (1, 50, 10_000)]
+    assert runs[0] == runs[1] == runs[2] and 3991 <= sum(runs[0].values()) <= 4000
+
+
 def test_weights_are_followed(spark):
     df = spark.createDataFrame([(i, "film", "a") for i in range(2000)], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats bigint")
