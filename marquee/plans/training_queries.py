@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.operators.heavy_keys import heavy_keys, key_stats
-from marquee.operators.packed_fields import split_packed
+from marquee.operators.packed_fields import learn_dictionary, split_packed
 from marquee.session import table
 
 
@@ -14,6 +14,18 @@ def genre_values(spark: SparkSession, d: str) -> DataFrame:
     return split_packed(table(spark, d, "movies"), "movieId", "genres", out_record="movie_id", out_value="genre")
 
 
+def unquoted_genres(spark: SparkSession, d: str) -> DataFrame:
+    """The genres without their quotes, as if no row had ever quoted a value: (movieId, genres)."""
+    bare = F.regexp_replace("genres", r"(?<!\")\"(?!\")|[“”]", "")
+    return table(spark, d, "movies").select("movieId", F.regexp_replace(bare, r"\"\"", '"').alias("genres"))
+
+
+def p3_guarded(spark: SparkSession, d: str) -> DataFrame:
+    """Planted delimiters: quotes are taken off all genres, and the dictionary of the quoted ones is to say where values end."""
+    known = learn_dictionary(table(spark, d, "movies"), "genres")
+    return split_packed(unquoted_genres(spark, d), "movieId", "genres", out_record="movie_id", out_value="genre", guard=True, dictionary=known)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return genre_values(spark, d)
 
@@ -27,7 +39,7 @@ def p7_key_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.withColumn("mean_value", F.round("mean_value", 6))
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_key_stats": p7_key_stats}
+QUERIES = {"p3_found": p3_found, "p3_guarded": p3_guarded, "p7_found": p7_found, "p7_key_stats": p7_key_stats}
 
 _LONG = "(SELECT 'movieId' AS key_field, movieId AS key_value, rating, timestamp FROM ratings UNION ALL SELECT 'userId', userId, rating, timestamp FROM ratings)"
 ORACLE = {
