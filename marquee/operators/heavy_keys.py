@@ -14,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators.skew import partitions_for
+
+#: Rows of a range partition, unless a number of partitions is asked for.
+ROWS = 1_000_000
+
 
 def ranged(df: DataFrame, keys: list[str], secondary: list[str | Column], partitions: int | None = None) -> DataFrame:
     """Rows range-partitioned so that heavy keys are split along the secondary order."""
@@ -30,6 +35,7 @@ def key_stats(df: DataFrame, fields: list[str], value: str, secondary: str, part
     valid = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value))
     # The secondary order ends in a row number's low bits, so that a key whose rows agree in everything can be split as well.
     low = (F.monotonically_increasing_id() % 1024).cast("smallint")
+    partitions = partitions or partitions_for(df, df.count() * len(fields), ROWS)
     long = df.select(F.expr(f"stack({len(fields)}, {pairs}) as (key_field, key_value)"), valid.alias("v"), F.col(secondary).alias("s"), low.alias("i"))
     spread = ranged(long.where("key_value is not null"), ["key_field", "key_value"], ["s", "i"], partitions)
     return spread.groupBy("key_field", "key_value").agg(

@@ -13,22 +13,27 @@ PARTS = 64
 LOOK = 0.02
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Keys that hold more than 1/HOT of a sample of the rows (at most HOT of them)."""
+def partitions_for(df: DataFrame, rows: int, each: int) -> int:
+    """Partitions of about `each` of the rows, no fewer than the session's shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def hot_keys(df: DataFrame, key: str, rows: int) -> list:
+    """Keys that hold more than 1/HOT of a sample of the df's `rows` rows (fewer than HOT of them)."""
     seen = df.where(F.col(key).isNotNull()).sample(LOOK, 7).groupBy(key).agg(F.count("*").alias("n"))
-    rows = seen.where("n > 20").orderBy(F.desc("n")).limit(HOT).collect()
-    total = sum(r.n for r in rows)
-    return [r[0] for r in rows if r.n * HOT > total and r.n > 1000] if rows else []
+    least = max(1000.0, rows * LOOK / HOT)
+    return [r[0] for r in seen.where(F.col("n") > least).orderBy(F.desc("n")).limit(HOT).collect()]
 
 
-def clustered(df: DataFrame, key: str, item: str, limit: int = 50_000) -> DataFrame:
+def clustered(df: DataFrame, key: str, item: str, limit: int = 50_000, each: int = 500_000) -> DataFrame:
     """(key, part, item) rows without nulls: partitioned by key and part, sorted by key, part and item.
 
     part is 0 for all rows of an ordinary key, so they lie together. A hot key's rows are made distinct first, on the map
-    side too; if no more than `limit` remain they lie together as well, else they are spread over PARTS by item.
+    side too; if no more than `limit` remain they lie together as well, else they are spread over PARTS by item. A partition has about `each` rows.
     """
     rows = df.select(F.col(key).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null")
-    hot = hot_keys(rows, "k")
+    total = rows.count()
+    hot = hot_keys(rows, "k", total)
     if hot:
         distinct = rows.where(F.col("k").isin(hot)).distinct()
         sizes = distinct.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()  # fewer than HOT rows
@@ -37,4 +42,4 @@ def clustered(df: DataFrame, key: str, item: str, limit: int = 50_000) -> DataFr
         rows = rows.where(~F.col("k").isin(hot)).withColumn("part", F.lit(0)).unionByName(distinct.withColumn("part", part))
     else:
         rows = rows.withColumn("part", F.lit(0))
-    return rows.repartition("k", "part").sortWithinPartitions("k", "part", "x").select("k", "part", "x")
+    return rows.repartition(partitions_for(df, total, each), "k", "part").sortWithinPartitions("k", "part", "x").select("k", "part", "x")
