@@ -2,8 +2,9 @@
 
 A change is given as the contents of the changed baskets before and after it. Every changed basket emits signed deltas, -1
 for the pairs it had and +1 for those it has, and likewise for the items' own counts and the number of baskets; deltas are
-added up per task, packed into hash buckets and merged into the persistent counts of those buckets. A first load is the
-change from nothing. Scores are recomputed from the counts, for all pairs or for those the last change touched.
+added up per task, packed into hash buckets and merged into the persistent counts of those buckets; buckets without deltas
+are neither read nor written. A first load is the change from nothing. Scores are recomputed from the counts, for all pairs
+or for those the last change touched.
 
 A basket of more than `large` items does not emit its pairs inside one task. The few largest (fewer than the least support
 of a reported pair, so that no such pair can live in them alone) are kept as rows and their share of a pair's count is
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.similar_sets import mix64
 from marquee.operators.skew import clustered
-from marquee.session import scratch, ship
+from marquee.session import scratch, ship, written
 
 #: Kinds of the state's rows: pair counts (a, b, n); item counts (item, null, n); number of baskets (0, null, n); rows of
 #: kept large baskets (basket, item, 1); rows of large baskets whose pairs are counted (basket, item, 1).
@@ -278,22 +279,41 @@ class PairTable:
         layout = json.loads(spark.read.json(f"{path}/layout").first().layout)
         return cls(spark, path, Layout(**layout), version)
 
+    def _manifest(self) -> DataFrame | None:
+        """(kind, bucket, latest): the version that holds a bucket, for those written after the first one."""
+        if self.version in (None, "v0"):
+            return None
+        return self.spark.read.schema("kind int, bucket int, latest int").parquet(f"{self.path}/manifest/{self.version}")
+
     def state(self) -> DataFrame:
+        """The payloads in force: of every bucket the one of the version that wrote it last."""
         if self.version is None:
             return self.spark.createDataFrame([], _STATE)
-        columns = ["kind", "bucket", "payload"]  # a partition column is read last
-        return self.spark.read.schema(_STATE).parquet(f"{self.path}/{self.version}").select(columns)
+        columns, number = ["kind", "bucket", "payload"], int(self.version[1:])
+        layers = self.spark.read.schema("bucket int, payload binary, version int, kind int").option("basePath", f"{self.path}/state").parquet(*[f"{self.path}/state/version={i}" for i in range(number + 1)])
+        manifest = self._manifest()
+        if manifest is None:
+            return layers.select(columns)
+        # One row a bucket and kind, whose number is fixed by the layout.
+        return layers.join(F.broadcast(manifest), ["kind", "bucket"], "left").where("version = coalesce(latest, 0)").select(columns)
 
     def rows(self, *kinds: int, least: int | None = None) -> DataFrame:
         """(kind, bucket, a, b, n) rows of the state."""
         return self.state().where(F.col("kind").isin(*kinds)).mapInArrow(_unpacked(least), _ROWS)
 
     def _write(self, deltas: DataFrame) -> None:
-        if self.version is not None:
-            deltas = deltas.unionByName(self.state())
+        """Merge deltas into the buckets they touch."""
         number = int(self.version[1:]) + 1 if self.version else 0
+        if number:
+            deltas = written(deltas, "deltas")
+            touched = deltas.select("kind", "bucket").distinct()
+            manifest = touched.select("kind", "bucket", F.lit(number).alias("latest"))
+            if (before := self._manifest()) is not None:
+                manifest = manifest.unionByName(before.join(touched, ["kind", "bucket"], "left_anti"))
+            manifest.write.mode("overwrite").parquet(f"{self.path}/manifest/v{number}")
+            deltas = deltas.unionByName(self.state().join(F.broadcast(touched), ["kind", "bucket"], "left_semi"))
         merged = deltas.groupBy("kind", "bucket").applyInArrow(_merge, _STATE)
-        merged.write.mode("overwrite").partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.path}/v{number}")
+        merged.write.mode("overwrite").partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.path}/state/version={number}")
         self.version = f"v{number}"
 
     def _side(self, rows: DataFrame, basket: str, item: str, sign: int) -> DataFrame:
@@ -310,14 +330,15 @@ class PairTable:
         self._settle()
         return self
 
-    def _settle(self) -> None:
+    def _settle(self, most_kept: int | None = None) -> None:
         """Keep the largest baskets set aside as rows, as many as may be; count the pairs of the others, chunk by chunk.
 
         Parts of hot baskets that turn out to be small are counted as well.
         """
+        most = self.layout.most_kept if most_kept is None else most_kept
         rows = self.rows(KEPT, COUNTED)
         sizes = rows.groupBy("a", "kind").agg(F.count("*").alias("size"))
-        largest = [r.a for r in sizes.where(f"kind = {KEPT} and size > {self.layout.large}").orderBy(F.desc("size"), "a").limit(self.layout.most_kept).collect()]
+        largest = [r.a for r in sizes.where(f"kind = {KEPT} and size > {self.layout.large}").orderBy(F.desc("size"), "a").limit(most).collect()]
         moving = rows.where((F.col("kind") == KEPT) & ~F.col("a").isin(largest))
         if moving.limit(1).count():
             # What the table counted of these baskets so far is taken back, what they hold now is counted.
@@ -343,8 +364,9 @@ class PairTable:
         """
         kept = self.rows(KEPT).select("a", F.col("b").alias("x")).distinct()
         baskets = [r.a for r in kept.select("a").distinct().limit(self.layout.most_kept + 1).collect()]
-        if len(baskets) >= least:
-            raise ValueError("the least support must exceed the number of large baskets kept as rows")
+        if len(baskets) >= least:  # a pair could live in the kept baskets alone: count the pairs of all but a few
+            self._settle(max(0, least - 1))
+            return self.scores(least, lift, changed)
         pairs = self.rows(PAIR, least=least - len(baskets)).select("a", "b", "n")
         if changed is not None:
             pairs = pairs.join(changed.select(F.col("item").alias("a")).distinct().withColumn("hit_a", F.lit(1)), "a", "left").join(changed.select(F.col("item").alias("b")).distinct().withColumn("hit_b", F.lit(1)), "b", "left").where("hit_a = 1 or hit_b = 1").select("a", "b", "n")

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.skew import clustered
+from marquee.operators.skew import clustered, partitions_for
 from marquee.session import ship, written
 
 BITS = 128
 #: Records a segment group is expected to hold, and records of one cell (a task's share of one index).
 GROUP, CELL = 512, 200_000
+#: Records looked at to find crowded cells; the sample decides only where rows are compared.
+LOOKED_AT = 200_000
 _U = np.uint64
 
 
@@ -241,11 +243,31 @@ def cell_pairs(segment: int, plan: Plan, ids, sizes, c1, c2, numerator: int, den
         d += 1
 
 
-def candidates(representatives: DataFrame, plan: Plan, numerator: int, denominator: int, records: int) -> DataFrame:
-    """(a, b, size_a, size_b) with a < b: pairs within the radius that share a segment, each once."""
+def crowded(representatives: DataFrame, plan: Plan, top: int, records: int) -> dict[int, int]:
+    """Parts of the cells that a sample says hold more than 4 * CELL records: groups of near-duplicates. Layout only."""
+    if records <= 4 * CELL:
+        return {}
+    rows = representatives.select("c1", "c2").sample(min(1.0, LOOKED_AT / records), 11).toArrow()
+    c1, c2 = (np.asarray(rows[c].combine_chunks()).view(np.uint64) for c in ("c1", "c2"))
+    out, width = {}, len(plan.bits[0])
+    for s, bits in enumerate(plan.bits):
+        at, n = np.unique(segment_values(c1, c2, bits) >> np.uint32(width - top), return_counts=True)
+        for v, k in zip(at.tolist(), (n * (records / max(1, len(c1)))).tolist()):
+            if k > 4 * CELL:
+                out[(s << 24) + v] = math.ceil(k / CELL)
+    return out
+
+
+def candidates(representatives: DataFrame, plan: Plan, numerator: int, denominator: int, records: int, parts: dict[int, int] | None = None) -> DataFrame:
+    """(a, b, size_a, size_b) with a < b: pairs within the radius that share a segment, each once.
+
+    A cell is compared in one task; a crowded one is cut into parts by a hash of its records, and every two parts meet in a
+    task of their own.
+    """
     top = max(0, math.ceil(math.log2(max(records, 1) / CELL)))
     width = len(plan.bits[0])
     top = min(top, width)
+    cut = crowded(representatives, plan, top, records) if parts is None else parts
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
@@ -253,12 +275,21 @@ def candidates(representatives: DataFrame, plan: Plan, numerator: int, denominat
             c1, c2 = c1.view(np.uint64), c2.view(np.uint64)
             for s, bits in enumerate(plan.bits):
                 at = segment_values(c1, c2, bits) >> np.uint32(width - top)
-                cells, payloads = [], []
+                cells, pairs, payloads = [], [], []
                 for v in np.unique(at):
-                    rows = np.flatnonzero(at == v)
-                    cells.append((s << 24) + int(v))
-                    payloads.append(_packed_cell(ids[rows], sizes[rows], c1[rows], c2[rows]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(payloads, pa.binary())], ["cell", "payload"])
+                    cell, rows = (s << 24) + int(v), np.flatnonzero(at == v)
+                    n = cut.get(cell, 1)
+                    part = (mix64(ids[rows]) % np.uint64(n)).astype(np.int64)
+                    for i in range(n) if n > 1 else [0]:
+                        mine = rows[part == i] if n > 1 else rows
+                        if not len(mine):
+                            continue
+                        payload = _packed_cell(ids[mine], sizes[mine], c1[mine], c2[mine])
+                        for j in range(n):
+                            cells.append(cell)
+                            pairs.append(min(i, j) * n + max(i, j))
+                            payloads.append(payload)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(pairs, pa.int64()), pa.array(payloads, pa.binary())], ["cell", "pair", "payload"])
 
         held, rows = [], 0
         for batch in batches:
@@ -272,15 +303,22 @@ def candidates(representatives: DataFrame, plan: Plan, numerator: int, denominat
             yield from out(held)
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        parts = [_unpacked_cell(p) for p in table["payload"].to_pylist()]
-        ids, sizes, c1, c2 = (np.concatenate(c) for c in zip(*parts))
-        found = list(cell_pairs(key[0].as_py() >> 24, plan, ids, sizes, c1, c2, numerator, denominator))
+        cell, pair = key[0].as_py(), key[1].as_py()
+        unpacked = [_unpacked_cell(p) for p in table["payload"].to_pylist()]
+        ids, sizes, c1, c2 = (np.concatenate(c) for c in zip(*unpacked))
+        found = list(cell_pairs(cell >> 24, plan, ids, sizes, c1, c2, numerator, denominator))
         i, j = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+        n = cut.get(cell, 1)
+        if pair // n != pair % n:  # two parts: pairs within one are found where it meets itself
+            part = mix64(ids) % np.uint64(n)
+            across = part[i] != part[j]
+            i, j = i[across], j[across]
         i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
         return pa.table({"a": ids[i].astype(np.int64), "b": ids[j].astype(np.int64), "size_a": sizes[i].astype(np.int64), "size_b": sizes[j].astype(np.int64)})
 
-    cells = representatives.select("r", "size", "c1", "c2").mapInArrow(spread, "cell bigint, payload binary")
-    return cells.groupBy("cell").applyInArrow(compare, "a bigint, b bigint, size_a bigint, size_b bigint")
+    cells = representatives.select("r", "size", "c1", "c2").mapInArrow(spread, "cell bigint, pair bigint, payload binary")
+    tasks = partitions_for(representatives, records * len(plan.bits), 2_000_000)
+    return cells.repartition(tasks, "cell", "pair").groupBy("cell", "pair").applyInArrow(compare, "a bigint, b bigint, size_a bigint, size_b bigint")
 
 
 def similar_sets(df: DataFrame, record: str, item: str, *, numerator: int = 7, denominator: int = 10, least: int = 8, recall: float = 0.998) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ def latest(df: DataFrame, group: str, item: str, score: str, at: str, low: float
     """Valid rows, one per (group, item): (g, i, s, a)."""
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).alias("s"), F.col(at).alias("a"))
     valid = rows.where(f"g is not null and i is not null and s between {low} and {high} and not isnan(s)")
-    # One primitive-typed maximum per column keeps this a hash aggregate: a struct would make it sort.
+    # Time and score belong to one row, so they are compared together; Spark sorts to aggregate structs, partially first.
     best = F.max(F.struct(F.col("a"), F.col("s"))).alias("best")
     return valid.groupBy("g", "i").agg(best).select("g", "i", F.col("best.s").alias("s"), F.col("best.a").alias("a"))
 

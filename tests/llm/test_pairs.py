@@ -52,10 +52,23 @@ def test_empty_table(spark):
     assert t.scores(15, 5).count() == 0
 
 
-def test_least_support_must_exceed_kept_baskets(spark):
-    t = PairTable.create(spark, buckets=2, large=3, most_kept=2).update(frame(spark, {1: range(9), 2: range(9)}), basket="user", item="item")
-    with pytest.raises(ValueError):
-        t.scores(2, 1)
+def test_low_support_counts_the_kept_baskets(spark):
+    baskets = {1: range(9), 2: range(9), 3: range(4, 12)}
+    t = PairTable.create(spark, buckets=2, large=3, most_kept=3).update(frame(spark, baskets), basket="user", item="item")
+    for least in (3, 2, 1):
+        assert scored(t, least, 0) == brute(baskets, least, 0)
+
+
+def test_only_touched_buckets_are_written(spark):
+    rng = random.Random(11)
+    baskets = {u: [rng.randrange(400) for _ in range(6)] for u in range(200)}
+    t = PairTable.create(spark, buckets=64).update(frame(spark, baskets), basket="user", item="item")
+    change = {7: [1, 2]}
+    t.update(frame(spark, change), frame(spark, {7: baskets[7]}), basket="user", item="item")
+    wrote = spark.read.parquet(f"{t.path}/state/version=1").count()
+    assert 0 < wrote < t.state().count() / 3
+    assert scored(t, 1, 0) == brute(baskets | change, 1, 0)
+    assert scored(PairTable.load(spark, t.path, "v0"), 1, 0) == brute(baskets, 1, 0)
 
 
 def test_packing_round_trip():

@@ -31,6 +31,17 @@ def test_against_brute_force(spark):
     assert got == {(a, b) for a, b in got if a < b}
 
 
+def test_crowded_cells_lose_no_pair(spark):
+    rng = random.Random(8)
+    core = set(range(30))
+    sets = {u: core - set(rng.sample(range(30), 2)) | {100 + rng.randrange(40)} for u in range(150)}
+    signed = S.signatures(frame(spark, sets), "user", "item")
+    plan = S.calibrate(150, 0.7, 0.99)
+    cells = {(s << 24): 1 + s % 4 for s in range(len(plan.bits))}
+    found = [sorted(map(tuple, S.candidates(signed, plan, 7, 10, 150, parts).collect())) for parts in ({}, cells)]
+    assert found[0] == found[1] and len(found[0]) > 5000
+
+
 def test_empty(spark):
     pairs, members = S.similar_sets(frame(spark, {}), "user", "item")
     assert S.expand(pairs, members, "user").count() == 0
