@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.operators.ranking import with_position
+
 
 def dataset_stats(df: DataFrame) -> DataFrame:
     """AGG1: users, items, ratings, density, ratings per user and item. Distinct ids are counted by grouping first."""
@@ -17,13 +19,12 @@ def dataset_stats(df: DataFrame) -> DataFrame:
 def long_tail(df: DataFrame, head: float = 0.1, middle: float = 0.4) -> DataFrame:
     """AGG3: items by number of ratings with their rank and head / middle / tail, cut at int(n * share).
 
-    The rank comes from the distribution of counts (as many rows as distinct counts), so no window takes all items.
+    Places come from range partitions in the order of counts and ids, so neither all items nor the many with one count meet
+    in one task.
     """
     counts = df.groupBy("item_id").agg(F.count("*").alias("n_ratings"))
-    levels = counts.groupBy("n_ratings").agg(F.count("*").alias("k"))
-    above = levels.withColumn("before", F.sum("k").over(Window.orderBy(F.desc("n_ratings"))) - F.col("k"))
-    placed = counts.join(above, "n_ratings").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("n_ratings").orderBy("item_id")))
-    total = counts.agg(F.count("*").alias("total"))
+    placed = with_position(counts, [F.desc("n_ratings"), "item_id"], "rank").withColumn("rank", F.col("rank") + 1)
+    total = placed.agg(F.count("*").alias("total"))
     part = F.when(F.col("rank") <= F.floor(F.col("total") * head), "head").when(F.col("rank") <= F.floor(F.col("total") * middle), "middle").otherwise("tail")
     return placed.crossJoin(F.broadcast(total)).select("item_id", "n_ratings", "rank", part.alias("part"))
 

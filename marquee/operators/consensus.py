@@ -110,9 +110,9 @@ def uniform(*parts) -> float:
 
 
 def vote_chances(score: float, mean: float, deviation: float, p: Params) -> tuple[float, float, float]:
-    """CON17: (dislike, neutral, like) from z-scores; thresholds are the member's own scale, moved up by the bias."""
+    """CON17: (dislike, neutral, like) from z-scores; thresholds are put on the member's own scale, then moved up by the bias."""
     sigma = max(deviation, 0.5)
-    z, upper, lower = (score - mean) / sigma, (p.threshold - mean + p.bias) / sigma, (p.threshold - p.width - mean + p.bias) / sigma
+    z, upper, lower = (score - mean) / sigma, (p.threshold - mean) / sigma + p.bias, (p.threshold - p.width - mean) / sigma + p.bias
     if not math.isfinite(z):
         return 0.4, 0.2, 0.4
     squash = lambda x: 1 / (1 + math.exp(min(700, -x)))
@@ -351,37 +351,31 @@ def play(session: Session) -> tuple[list[tuple], list[tuple]]:
 
 
 class Candidates:
-    """Groups with their members' ratings, scored by an item model in the task that plays them: every member has a score of
-    every item of the model, 0 without ratings. Scores are many times the ratings, so only ratings are shuffled."""
+    """Groups with the scores of all items of a model for every member, 0 throughout for a member without ratings.
+
+    Scores are packed block by block, so a group's rows are few; all parameters are played where they meet.
+    """
 
     def __init__(self, groups: DataFrame, rated: DataFrame, model: Ease):
-        self.model = model
+        self.ids = model.ids
         member = groups.select("group_id", F.explode("members").alias("user_id"))
-        chosen = rated.join(F.broadcast(rated.sparkSession.createDataFrame([(i,) for i in model.items], "item_id bigint")), "item_id", "left_semi")
-        cells = member.join(chosen, "user_id").groupBy("group_id").agg(F.collect_list(F.struct("user_id", "item_id", F.col("rating").cast("double").alias("rating"))).alias("cells"))
-        self.frame = groups.select("group_id", "members").join(cells, "group_id", "left").select("group_id", "members", F.col("cells.user_id").alias("users"), F.col("cells.item_id").alias("items"), F.col("cells.rating").alias("ratings"))
+        mine = rated.join(member.select("user_id").distinct(), "user_id", "left_semi")
+        self.frame = member.join(model.score_vectors(mine), "user_id", "left")
 
     def played(self, params: list[Params], rows: Callable[[Params, Session], list[tuple]], schema: str) -> DataFrame:
-        ids, b = np.array(self.model.items, np.int64), self.model.b
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for r in batch.itertuples():
-                    users = sorted(int(u) for u in r.members)
-                    scores = np.zeros((len(users), len(ids)))
-                    if r.users is not None:
-                        mine, cols, values = np.searchsorted(users, r.users), np.searchsorted(ids, r.items), np.asarray(r.ratings)
-                        order = np.lexsort((cols, mine))  # sums don't depend on the order of rows
-                        for k in range(len(users)):
-                            of = order[mine[order] == k]
-                            scores[k] = np.round((values[of, None] * b[cols[of]]).sum(axis=0), 9)
-                    out += rows(params[int(r.param)], Session(params[int(r.param)], int(r.group_id), users, ids, scores))
-                yield _typed(out, schema)
-
-        spark = self.frame.sparkSession
-        spread = spark.sparkContext.defaultParallelism * 4
-        return _keyed(self.frame, params).repartition(spread, "param", "group_id").mapInPandas(run, schema)
+        ids = self.ids
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            group, users = int(frame.group_id.iloc[0]), sorted(int(u) for u in frame.user_id.unique())
+            scores = np.zeros((len(users), len(ids)))
+            for user, first, payload in zip(frame.user_id, frame["first"], frame.payload):
+                if payload is not None:
+                    values = np.frombuffer(payload, np.float64)
+                    scores[users.index(int(user)), int(first) : int(first) + len(values)] = values
+            return _typed([x for p in params for x in rows(p, Session(p, group, users, ids, scores))], schema)
+
+        ship(self.frame.sparkSession)
+        return self.frame.groupBy("group_id").applyInPandas(run, schema)
 
 
 def _sessions(frame: pd.DataFrame, params: list[Params]) -> Iterator[tuple[Params, Session]]:

@@ -1,7 +1,7 @@
 """Recommender models (REC) on long ratings.
 
-Only dense item models of a chosen number of items reach the driver (`most` bounds them); everything else is joins and
-aggregates, or NumPy per batch of users.
+Item models are matrices in blocks (linear.py): one panel of bounded size at a time reaches the driver, and no task takes a
+whole matrix. Everything else is joins and aggregates, or NumPy per batch of users.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.operators.linear import BlockMatrix
 from marquee.operators.matrix import corated_cosine, gram, top_k
-from marquee.session import written
-
-#: Most items a dense model may have: its matrix is inverted on the driver and sent to all tasks (32 MB at 2000).
-MOST_ITEMS = 2000
+from marquee.operators.ranking import with_position
+from marquee.session import ship, written
 
 
 def popularity(rated: DataFrame) -> DataFrame:
@@ -30,32 +30,25 @@ def popular_items(rated: DataFrame, n: int) -> DataFrame:
     return rated.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(n).select("item_id")
 
 
-def recommend_unseen(scores: DataFrame, rated: DataFrame, k: int, most: int = 1000) -> DataFrame:
-    """REC4, JOI3, WIN4: the k best of (item_id, score) for every user among items not rated; seen items always leave.
-
-    Only the `most` best items are looked at (they are broadcast); a user who has rated nearly all of them gets fewer.
-    """
-    pool = scores.orderBy(F.desc("score"), "item_id").limit(most)
-    users = rated.select("user_id").distinct()
-    fresh = users.crossJoin(F.broadcast(pool)).join(rated.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_k(fresh, ["user_id"], "score", "item_id", k)
-
-
-def spd_inverse(matrix: np.ndarray) -> np.ndarray:
-    """Inverse of a symmetric positive definite matrix by Gauss-Jordan sweeps of elementwise updates.
+def recommend_unseen(scores: DataFrame, rated: DataFrame, k: int) -> DataFrame:
+    """REC4, JOI3, WIN1, WIN4: the k best of (item_id, score) for every user among the items not rated, with their places.
 
-    It keeps clear of the threads of a linear algebra library, which may wait for ever in a process that has forked.
+    Items are numbered once, best first (ties by id). The unseen ones are the gaps between the numbers of a user's own items,
+    so only the first k of them are ever listed: no user meets all items. Users with fewer than k unseen items get fewer
+    rows; items without a score are never recommended; null users and items are left out.
     """
-    a = matrix.astype(float).copy()
-    step = np.empty_like(a)
-    for k in range(len(a)):
-        pivot = a[k, k]
-        if pivot <= 0:
-            raise ValueError("the matrix is not positive definite")
-        row, col = a[k] / pivot, a[:, k].copy()
-        a -= np.multiply(col[:, None], row[None, :], out=step)
-        a[k], a[:, k], a[k, k] = row, -col / pivot, 1 / pivot
-    return a
+    ranks = with_position(scores.where("item_id is not null").select("item_id", "score"), [F.desc("score"), "item_id"], "rank").withColumn("rank", F.col("rank") + 1)
+    total = ranks.count()
+    own = rated.select("user_id", "item_id").where("user_id is not null").distinct()
+    # A number after the last one closes every user's list.
+    seen = own.join(ranks, "item_id").select("user_id", "rank").unionByName(own.select("user_id").distinct().withColumn("rank", F.lit(total + 1).cast("bigint")))
+    w = Window.partitionBy("user_id").orderBy("rank")
+    before = F.coalesce(F.lag("rank").over(w), F.lit(0))
+    gaps = seen.select("user_id", "rank", before.alias("before"), (F.row_number().over(w) - 1).cast("bigint").alias("n")).withColumn("place", F.col("before") - F.col("n"))
+    listed = gaps.where((F.col("rank") > F.col("before") + 1) & (F.col("place") < k))
+    last = F.least(F.col("rank") - 1, F.col("before") + k - F.col("place"))
+    unseen = listed.select("user_id", "n", F.explode(F.sequence(F.col("before") + 1, last)).alias("rank"))
+    return unseen.join(ranks, "rank").select("user_id", "item_id", "score", (F.col("rank") - F.col("n")).alias("place"))
 
 
 def best_columns(s: np.ndarray, k: int) -> np.ndarray:
@@ -70,64 +63,137 @@ def best_columns(s: np.ndarray, k: int) -> np.ndarray:
 
 
 class Ease:
-    """REC1, REC2, REC3 by columns (not its user-based variant): closed-form linear autoencoder over the most popular items.
+    """REC1, REC2, REC3: closed-form linear autoencoder over all items, or over the n_items most rated ones.
 
     norm: 'row' divides row i by P_ii, 'col' column j by P_jj. The Gram matrix is computed once and reused over penalties.
+    row and col name the two sides; with them exchanged the model is over users (REC3, user-based). Every user with a rating
+    has scores. The matrix is dense, items by items, and lies in blocks in the shared folder.
     """
 
-    def __init__(self, rated: DataFrame, n_items: int, norm: str = "row"):
-        if n_items > MOST_ITEMS:
-            raise ValueError(f"a dense model takes at most {MOST_ITEMS} items")
-        self.spark, self.norm = rated.sparkSession, norm
-        self.items = sorted(r.item_id for r in popular_items(rated, n_items).collect())
-        chosen = rated.join(F.broadcast(self.spark.createDataFrame([(i,) for i in self.items], "item_id bigint")), "item_id", "left_semi")
-        cells = gram(chosen, "user_id", "item_id", "rating").select("i", "j", "g").toArrow()  # at most n_items squared / 2 cells
-        self.g = np.zeros((len(self.items), len(self.items)))
-        i, j = (np.searchsorted(self.items, cells[c].to_numpy()) for c in "ij")
-        self.g[i, j] = self.g[j, i] = cells["g"].to_numpy()
-        self.b = np.zeros_like(self.g)
+    def __init__(self, rated: DataFrame, n_items: int | None = None, norm: str = "row", row: str = "user_id", col: str = "item_id", width: int | None = None):
+        if norm not in ("row", "col"):
+            raise ValueError(norm)
+        self.spark, self.norm, self.row, self.col = rated.sparkSession, norm, row, col
+        ship(self.spark)
+        rated = rated.where(F.col(row).isNotNull() & F.col(col).isNotNull() & F.col("rating").isNotNull())
+        axis = rated.select(col).distinct() if n_items is None else popular_items(rated.withColumnRenamed(col, "item_id"), n_items).withColumnRenamed("item_id", col)
+        self.index = with_position(axis, [col], "idx")
+        self.ids = np.array(self.index.orderBy("idx").select(col).toArrow()[col].to_pylist(), np.int64)  # the axis of the matrix
+        self.gram = BlockMatrix.of_cells(gram(self._cells(rated), "r", "idx", "x"), len(self.ids), width)
+        self.p: BlockMatrix | None = None
+
+    def _cells(self, rated: DataFrame) -> DataFrame:
+        return rated.join(self.index, self.col).select(F.col(self.row).cast("bigint").alias("r"), F.col("idx"), F.col("rating").cast("double").alias("x"))
 
     def fit(self, penalty: float) -> Ease:
-        p = spd_inverse(self.g + penalty * np.eye(len(self.items)))
-        d = np.diag(p)
-        self.b = -p / (d[:, None] if self.norm == "row" else d[None, :])
-        np.fill_diagonal(self.b, 0.0)
+        self.p = self.gram.inverse(penalty)  # with its sign turned
+        self.d = -self.p.diagonal()
         return self
 
     def weights(self) -> DataFrame:
         """(i, j, b) without the empty diagonal."""
-        ids, b = np.array(self.items, np.int64), self.b
+        ids, d, by_row, width = self.ids, self.d, self.norm == "row", self.p.width
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k in batch.id:
-                    rest = np.arange(len(ids)) != k
-                    yield pd.DataFrame({"i": np.full(rest.sum(), ids[k]), "j": ids[rest], "b": b[k, rest]})
-
-        return self.spark.range(len(ids)).mapInPandas(run, "i bigint, j bigint, b double")
+                for c, r, payload in zip(*(x.to_pylist() for x in batch.columns)):
+                    left, right = ids[r * width : (r + 1) * width], ids[c * width : (c + 1) * width]
+                    b = np.frombuffer(payload, np.float64).reshape(len(left), len(right))
+                    b = b / (d[r * width : r * width + len(left), None] if by_row else d[None, c * width : c * width + len(right)])
+                    i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                    keep = i != j
+                    yield pa.RecordBatch.from_arrays([pa.array(i[keep]), pa.array(j[keep]), pa.array(b.reshape(-1)[keep])], ["i", "j", "b"])
+
+        return self.p.column_panels().mapInArrow(run, "i bigint, j bigint, b double")
+
+    def _scored(self, rated: DataFrame, emit: Callable, schema: str) -> DataFrame:
+        """emit(rows, first column, scores, seen) of the scores of every row in every column block.
+
+        A task has one column block of the weights and one slice of the rows; scores are sums over a row's own items in the
+        order of their ids, rounded to nine digits.
+        """
+        cells = written(self._cells(rated), "cells")
+        blocks, width, n = self.p.blocks, self.p.width, self.p.n
+        if not n:
+            return self.spark.createDataFrame([], schema)
+        slices = max(-(-cells.count() // 1_000_000), -(-self.spark.sparkContext.defaultParallelism // blocks))
+        every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+        panels = self.p.column_panels().select("c", "r", "payload", every(slices, "s"))
+        placed = cells.select("r", "idx", "x", F.pmod(F.xxhash64("r"), F.lit(slices)).cast("int").alias("s"), every(blocks, "c"))
+        d, by_row, names = self.d, self.norm == "row", [f.split()[0] for f in schema.split(", ")]
+
+        def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return emit(None, 0, None, None)
+            c, r = key[0].as_py(), np.asarray(left["r"].combine_chunks())
+            payloads = left["payload"].to_pylist()
+            wide = min(width, n - c * width)
+            b = np.concatenate([np.frombuffer(payloads[k], np.float64).reshape(-1, wide) for k in np.argsort(r)])
+            b = b / (d[:, None] if by_row else d[None, c * width : c * width + wide])
+            own = np.arange(wide)
+            b[c * width + own, own] = 0.0
+            u, i, x = (np.asarray(right[name].combine_chunks()) for name in ("r", "idx", "x"))
+            order = np.lexsort((i, u))
+            u, i, x = u[order], i[order], x[order]
+            starts = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            ends, out, at = np.append(starts[1:], len(u)), [], 0
+            while at < len(starts):
+                to = min(at + 512, len(starts))
+                lo, hi, s, done = starts[at], ends[to - 1], np.empty((to - at, wide)), at
+                while done < to:  # so many cells at once that their weights stay in the cache
+                    upto = min(to, max(done + 1, int(np.searchsorted(ends, starts[done] + 256, side="right"))))
+                    p, q = starts[done], ends[upto - 1]
+                    s[done - at : upto - at] = np.add.reduceat(b[i[p:q]] * x[p:q, None], starts[done:upto] - p, axis=0)
+                    done = upto
+                s = np.round(s, 9, out=s)
+                within = np.flatnonzero((i[lo:hi] >= c * width) & (i[lo:hi] < c * width + wide))
+                rows = np.searchsorted(starts[at:to], lo + within, side="right") - 1
+                out.append(emit(u[starts[at:to]], c * width, s, (rows, i[lo:hi][within] - c * width)))
+                at = to
+            return pa.concat_tables(out)
+
+        return panels.groupBy("c", "s").cogroup(placed.groupBy("c", "s")).applyInArrow(run, schema).toDF(*names)
 
     def scores(self, rated: DataFrame, k: int, mask_seen: bool = True) -> DataFrame:
-        """(user_id, item_id, score, place): each user's k best, by batches of users over the broadcast weights."""
-        ids, b = np.array(self.items, np.int64), self.b
-        mine = rated.where(F.col("item_id").isin(self.items)) if len(self.items) <= 50 else rated.join(F.broadcast(self.spark.createDataFrame([(i,) for i in self.items], "item_id bigint")), "item_id", "left_semi")
-        listed = mine.groupBy("user_id").agg(F.collect_list("item_id").alias("items"), F.collect_list("rating").alias("ratings"))
+        """(user_id, item_id, score, place): the k best items of every row's entity; ties go to the smaller id."""
+        ids = self.ids
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for at in range(0, len(batch), 512):
-                    part = batch.iloc[at : at + 512]
-                    rows = np.repeat(np.arange(len(part)), part["items"].map(len))
-                    cols = np.searchsorted(ids, np.concatenate(part["items"].to_numpy()))
-                    # Users have few of the items: a sum of their rows of the weights, not a dense product.
-                    s = np.round(np.stack([np.asarray(v, float) @ b[np.searchsorted(ids, i)] for i, v in zip(part["items"], part["ratings"])]), 9)
-                    if mask_seen:
-                        s[rows, cols] = -np.inf
-                    order = best_columns(s, k)
-                    best = np.take_along_axis(s, order, axis=1)
-                    keep = np.isfinite(best)
-                    yield pd.DataFrame({"user_id": np.repeat(part.user_id.to_numpy(), keep.sum(axis=1)), "item_id": ids[order][keep], "score": best[keep], "place": (np.broadcast_to(np.arange(1, order.shape[1] + 1), order.shape))[keep]})
-
-        return listed.mapInPandas(run, "user_id bigint, item_id bigint, score double, place bigint")
+        def emit(rows, first, s, seen) -> pa.Table:
+            if rows is None:
+                return pa.table({"user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            if mask_seen:
+                s[seen] = -np.inf
+            order = best_columns(s, k)
+            best = np.take_along_axis(s, order, axis=1)
+            keep = np.isfinite(best)
+            return pa.table({"user_id": np.repeat(rows, keep.sum(axis=1)), "item_id": ids[first + order][keep], "score": best[keep]})
+
+        return top_k(self._scored(rated, emit, "user_id bigint, item_id bigint, score double"), ["user_id"], "score", "item_id", k)
+
+    def column_scores(self, rated: DataFrame, k: int) -> DataFrame:
+        """REC3, user-based: (user_id, item_id, score, place) of a model over users, whose rows are items: each user's k best."""
+        ids = self.ids
+
+        def emit(rows, first, s, seen) -> pa.Table:
+            if rows is None:
+                return pa.table({"user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            s[seen] = -np.inf
+            order = best_columns(np.ascontiguousarray(s.T), k)
+            best = np.take_along_axis(s.T, order, axis=1)
+            keep = np.isfinite(best)
+            return pa.table({"user_id": np.repeat(ids[first : first + s.shape[1]], keep.sum(axis=1)), "item_id": rows[order][keep], "score": best[keep]})
+
+        return top_k(self._scored(rated, emit, "user_id bigint, item_id bigint, score double"), ["user_id"], "score", "item_id", k)
+
+    def score_vectors(self, rated: DataFrame) -> DataFrame:
+        """(user_id, first, payload): the scores of all items, packed as doubles in the order of `ids`, block by block."""
+
+        def emit(rows, first, s, seen) -> pa.Table:
+            if rows is None:
+                return pa.table({"user_id": pa.array([], pa.int64()), "first": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+            return pa.table({"user_id": rows, "first": pa.array([first] * len(rows), pa.int32()), "payload": pa.array([v.tobytes() for v in s], pa.binary())})
+
+        return self._scored(rated, emit, "user_id bigint, first int, payload binary")
 
 
 def penalty_sweep(model: Ease, rated: DataFrame, held: DataFrame, penalties: list[float], k: int = 20) -> DataFrame:
@@ -187,6 +253,16 @@ def residual_factors(rated: DataFrame, rank: int = 20, seed: int = 42) -> tuple[
     return mu, users, items, *factors(rest, rank, False, seed)
 
 
+def residual_predictions(model: tuple, wanted: DataFrame, low: float = 0.5, high: float = 5.0) -> DataFrame:
+    """REC6: (*wanted, est): mean + biases + the product of the factors, within the scale; what is unknown counts as 0."""
+    mu, users, items, user_factors, item_factors = model
+    side = lambda f, key, name: f.select(F.col("id").cast("bigint").alias(key), F.col("features").alias(name))
+    known = wanted.join(users, "user_id", "left").join(items, "item_id", "left").join(side(user_factors, "user_id", "p"), "user_id", "left").join(side(item_factors, "item_id", "q"), "item_id", "left")
+    dot = F.aggregate(F.zip_with("p", "q", lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    est = F.lit(mu) + F.coalesce("bu", F.lit(0.0)) + F.coalesce("bi", F.lit(0.0)) + F.coalesce(dot, F.lit(0.0))
+    return known.select(*wanted.columns, F.least(F.greatest(est, F.lit(low)), F.lit(high)).alias("est"))
+
+
 def _tag_profiles(rated: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """REC10: item vectors (item_id, genre, x), user profiles (user_id, genre, p) and their lengths (user_id, len)."""
     size = tags.groupBy("item_id").agg(F.count("*").alias("k"))

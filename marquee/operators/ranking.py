@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.session import written
 
 
-def with_position(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order: list[str | Column], out: str = "position") -> DataFrame:
     """Rows with their 0-based position in the order (total: ties make it arbitrary).
 
     Range partitions are sorted on their own and numbered through by their sizes; only those sizes, one row a partition,

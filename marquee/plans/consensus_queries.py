@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from marquee.operators import consensus as C
 from marquee.operators import metrics as E
 from marquee.operators.matrix import top_k
-from marquee.operators.models import MOST_ITEMS, Ease, group_scores
+from marquee.operators.models import Ease, group_scores
 from marquee.plans.registry import Book
 from marquee.sources import views as V
 from marquee.sources.views import GROUPS, RATINGS, VOTES
@@ -17,10 +19,18 @@ add = book.add
 R = V.ratings
 
 
-def candidates(s, d, width=40, size=3):
-    """Groups over all items the closed-form model may have: more than the 100 cards a session shows, for every member."""
+def candidates(s, d, size=3):
+    """Groups of all users over all items."""
     rated = R(s, d)
-    return C.Candidates(V.groups(rated, width, size), rated, Ease(rated, MOST_ITEMS).fit(500.0))
+    return C.Candidates(V.groups(rated, size), rated, Ease(rated).fit(500.0))
+
+
+#: Likes begin here: the item model's scores of these sparse ratings lie between 0 and 3, not on the scale of the ratings.
+LIKED, NEUTRAL = 1.5, 0.75
+
+
+def scaled(params):
+    return [replace(p, threshold=LIKED, width=NEUTRAL) for p in params]
 
 
 _ROUND0 = f"(SELECT * FROM {VOTES} WHERE round = 0)"
@@ -100,23 +110,23 @@ def _(s, d):
 
 @add("con18_round_log_sync")
 def _(s, d):
-    return C.round_log(candidates(s, d), [p for p in C.catalogue(10) if p.name == "S0"])
+    return C.round_log(candidates(s, d), scaled(p for p in C.catalogue(10) if p.name == "S0"))
 
 
 @add("con19_all_algorithms")
 def _(s, d):
-    return C.summary(C.outcomes(candidates(s, d), C.catalogue(10))).select("params", F.round("rfc", 4).alias("rfc"), F.round("success_rate", 4).alias("success_rate"), "n_groups")
+    return C.summary(C.outcomes(candidates(s, d), scaled(C.catalogue(10)))).select("params", F.round("rfc", 4).alias("rfc"), F.round("success_rate", 4).alias("success_rate"), "n_groups")
 
 
 @add("con20_static_sweep")
 def _(s, d):
     a1 = next(p for p in C.catalogue(5) if p.name == "A1")
-    return C.summary(C.outcomes(candidates(s, d), C.grid(a1, t=[1, 2, 4], bias=[0.0, 1.0]))).select("params", F.round("rfc", 4).alias("rfc"), F.round("success_rate", 4).alias("success_rate"))
+    return C.summary(C.outcomes(candidates(s, d), scaled(C.grid(a1, t=[1, 2, 4], bias=[0.0, 1.0])))).select("params", F.round("rfc", 4).alias("rfc"), F.round("success_rate", 4).alias("success_rate"))
 
 
 @add("con21_large_groups")
 def _(s, d):
-    return C.summary(C.outcomes(candidates(s, d, 150, 5), [p for p in C.catalogue(10) if p.name in ("A1", "H0", "S0")])).select("params", F.round("success_rate", 4).alias("success_rate"), "n_groups")
+    return C.summary(C.outcomes(candidates(s, d, 5), scaled(p for p in C.catalogue(10) if p.name in ("A1", "H0", "S0")))).select("params", F.round("success_rate", 4).alias("success_rate"), "n_groups")
 
 
 @add("met2_group_ndcg", f"""WITH t AS (SELECT user_id, item_id FROM {RATINGS} WHERE rating >= 4.5), k AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS place FROM {_MEAN}), g AS (SELECT group_id, unnest(members) AS user_id FROM {GROUPS}),

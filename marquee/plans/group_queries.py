@@ -20,7 +20,7 @@ OPP = f"(SELECT a, b FROM {_COS} WHERE round(sim, 6) <= {TO})"
 
 
 def pairs(s, d):
-    return cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 4).withColumn("sim", F.round("sim", 6))
+    return cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding").withColumn("sim", F.round("sim", 6))
 
 
 def _members(df):

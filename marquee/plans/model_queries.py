@@ -19,7 +19,7 @@ R = V.ratings
 TEST = "(user_id * 2654435761 + item_id * 40503 + 42) % 1000003 % 5 = 0"
 LIKED = f"(SELECT user_id, item_id FROM {RATINGS} WHERE rating >= 4 AND {TEST})"
 TRAIN = f"(SELECT user_id, item_id, rating FROM {RATINGS} WHERE NOT ({TEST}))"
-POP = f"(SELECT item_id, sum(rating) AS score FROM {TRAIN} GROUP BY 1 ORDER BY score DESC, item_id LIMIT 100)"
+POP = f"(SELECT item_id, sum(rating) AS score FROM {TRAIN} GROUP BY 1)"
 RANKED = f"(SELECT user_id, item_id, place FROM (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY p.score DESC, p.item_id) AS place FROM (SELECT DISTINCT user_id FROM {TRAIN}) u CROSS JOIN {POP} p WHERE NOT EXISTS (SELECT 1 FROM {TRAIN} t WHERE t.user_id = u.user_id AND t.item_id = p.item_id)) WHERE place <= 10)"
 
 
@@ -31,8 +31,7 @@ def split(s, d):
 
 def ranked(s, d):
     train, held = split(s, d)
-    pool = O.popularity(train).orderBy(F.desc("score"), "item_id").limit(100)
-    return O.recommend_unseen(pool, train, 10), held
+    return O.recommend_unseen(O.popularity(train), train, 10), held
 
 
 def r6(c):
@@ -41,19 +40,19 @@ def r6(c):
 
 @add("rec1_ease_weights")
 def _(s, d):
-    return O.Ease(R(s, d), O.MOST_ITEMS).fit(500.0).weights().withColumn("b", F.round("b", 6))
+    return O.Ease(R(s, d)).fit(500.0).weights().withColumn("b", F.round("b", 6))
 
 
 @add("rec2_ease_top10")
 def _(s, d):
     train, _ = split(s, d)
-    return O.Ease(train, O.MOST_ITEMS).fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
+    return O.Ease(train).fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
 
 
 @add("rec3_ease_columns_top10")
 def _(s, d):
     train, _ = split(s, d)
-    return O.Ease(train, O.MOST_ITEMS, "col").fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
+    return O.Ease(train, norm="col").fit(500.0).scores(train, 10).withColumn("score", F.round("score", 4))
 
 
 @add("rec4_popularity_topk", f"SELECT user_id, item_id, place FROM {RANKED}")
@@ -77,10 +76,12 @@ def _(s, d):
     return O.knn_predictions(rated, O.item_neighbours(rated, 20, 3), held).withColumn("est", F.round("est", 4))
 
 
-@add("rec6_residual_factors")
+@add("rec6_residual_predictions")
 def _(s, d):
-    users = O.residual_factors(R(s, d), 8)[3]
-    return users.select(F.col("id").cast("bigint").alias("user_id"), F.size("features").alias("rank"))
+    rated = R(s, d)
+    train, _ = split(s, d)
+    held = rated.where(TEST).select("user_id", "item_id", "rating")
+    return O.residual_predictions(O.residual_factors(train, 8), held).select("user_id", "item_id", F.round("est", 3).alias("est"))
 
 
 @add("rec7_baseline_biases", f"""WITH r AS {RATINGS}, m AS (SELECT avg(rating) AS mu FROM r), i1 AS (SELECT item_id, sum(rating - mu) / (10 + count(*)) AS bi FROM r, m GROUP BY 1), u1 AS (SELECT user_id, sum(rating - mu - bi) / (15 + count(*)) AS bu FROM r JOIN i1 USING (item_id), m GROUP BY 1),
@@ -92,23 +93,13 @@ def _(s, d):
 @add("rec8_user_embeddings")
 def _(s, d):
     users, _ = O.factors(R(s, d), 16, implicit=True)
-    return users.select(F.col("id").cast("bigint").alias("user_id"), F.size("features").alias("dims"))
+    return users.select(F.col("id").cast("bigint").alias("user_id"), F.posexplode("features").alias("dim", "x")).withColumn("x", F.round("x", 4))
 
 
 _MAIN = "('action', 'adventure', 'animation', 'comedy', 'crime', 'documentary', 'drama', 'fantasy', 'horror', 'musical', 'mystery', 'romance', 'sci-fi', 'thriller', 'war')"
 
 
 @add("rec10_content_topk", f"""WITH g AS (SELECT item_id, genre, 1 / sqrt(count(*) OVER (PARTITION BY item_id)) AS x FROM {GENRES} WHERE genre IN {_MAIN}), p AS (SELECT user_id, genre, sum(rating * x) AS p FROM {RATINGS} JOIN g USING (item_id) GROUP BY 1, 2), l AS (SELECT user_id, sqrt(sum(p * p)) AS len FROM p GROUP BY 1),
-    c AS (SELECT item_id FROM (SELECT item_id, count(*) AS n FROM {RATINGS} GROUP BY 1) ORDER BY n DESC, item_id LIMIT 50), s AS (SELECT p.user_id, g.item_id, round(sum(p.p * g.x) / max(l.len), 4) AS score FROM p JOIN g USING (genre) JOIN c ON c.item_id = g.item_id JOIN l ON l.user_id = p.user_id GROUP BY 1, 2)
-    SELECT user_id, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS place FROM s) WHERE place <= 5""")
-def _(s, d):
-    rated = R(s, d)
-    tags = V.genres(s, d).where(f"genre in {_MAIN}")
-    scores = O.content_scores(rated, tags, O.popular_items(rated, 50)).withColumn("score", F.round("score", 4))
-    return top_k(scores, ["user_id"], "score", "item_id", 5).select("user_id", "item_id", "place")
-
-
-@add("rec10_content_topk_all", f"""WITH g AS (SELECT item_id, genre, 1 / sqrt(count(*) OVER (PARTITION BY item_id)) AS x FROM {GENRES} WHERE genre IN {_MAIN}), p AS (SELECT user_id, genre, sum(rating * x) AS p FROM {RATINGS} JOIN g USING (item_id) GROUP BY 1, 2), l AS (SELECT user_id, sqrt(sum(p * p)) AS len FROM p GROUP BY 1),
     s AS (SELECT p.user_id, g.item_id, round(sum(p.p * g.x) / max(l.len), 4) AS score FROM p JOIN g USING (genre) JOIN l ON l.user_id = p.user_id GROUP BY 1, 2)
     SELECT user_id, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS place FROM s) WHERE place <= 5""")
 def _(s, d):
@@ -180,7 +171,7 @@ def _(s, d):
 @add("rec16_penalty_sweep")
 def _(s, d):
     train, held = split(s, d)
-    return O.penalty_sweep(O.Ease(train, O.MOST_ITEMS), train, held, [100.0, 500.0, 1400.0], 20)
+    return O.penalty_sweep(O.Ease(train), train, held, [100.0, 500.0, 1400.0], 20)
 
 
 @add("met1_ndcg", f"WITH t AS {LIKED}, n AS (SELECT user_id, count(*) AS n FROM t GROUP BY 1), g AS (SELECT user_id, sum(1 / log2(place + 1)) AS dcg FROM {RANKED} JOIN t USING (user_id, item_id) GROUP BY 1) SELECT n.user_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda j: 1 / log2(j + 1))), 4) AS ndcg FROM n LEFT JOIN g USING (user_id)")

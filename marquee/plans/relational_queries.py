@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marquee.operators import aggregates as A
 from marquee.operators import filters as L
 from marquee.operators import matrix as M
+from marquee.operators.models import recommend_unseen
 from marquee.operators.ranking import unseen_summary
 from marquee.plans.registry import Book
 from marquee.session import table
@@ -216,32 +217,20 @@ _COS = "(SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (sqrt
 
 @add("joi9_similar_pairs", f"SELECT a, b, round(sim, 4) AS sim FROM {_COS} WHERE round(sim, 6) >= 0.26")
 def _(s, d):
-    return M.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 4).where("round(sim, 6) >= 0.26").select("a", "b", F.round("sim", 4).alias("sim"))
+    return M.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding", low=0.26).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
 @add("joi9_opposite_pairs", f"SELECT a, b, round(sim, 4) AS sim FROM {_COS} WHERE round(sim, 6) <= -0.12")
 def _(s, d):
-    return M.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 4).where("round(sim, 6) <= -0.12").select("a", "b", F.round("sim", 4).alias("sim"))
+    return M.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding", high=-0.12).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
 @add("joi10_knn", f"WITH e AS (SELECT a AS id, b AS other, round(sim, 6) AS sim FROM {_COS} UNION ALL SELECT b, a, round(sim, 6) FROM {_COS}) SELECT id, other, place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS place FROM e) WHERE place <= 10")
 def _(s, d):
-    half = M.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 4)
-    both = half.select(F.col("a").alias("id"), F.col("b").alias("other"), r6("sim").alias("sim")).union(half.select("b", "a", r6("sim")))
-    return M.top_k(both, ["id"], "sim", "other", 10).select("id", "other", "place")
+    return M.cosine_neighbours(table(s, d, "embeddings"), "vec_id", "embedding", 10).select("id", "other", "place")
 
 
-@add("joi11_unseen_candidates", f"WITH r AS {RATINGS}, top AS (SELECT item_id FROM {N_ITEM} ORDER BY n DESC, item_id LIMIT 20) SELECT user_id, count(*) AS n_unseen, min(item_id) AS first_item FROM (SELECT u.user_id, t.item_id FROM (SELECT DISTINCT user_id FROM r) u, top t EXCEPT SELECT user_id, item_id FROM r) GROUP BY 1")
-def _(s, d):
-    rated = R(s, d)
-    top = rated.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(20).agg(F.collect_list("item_id").alias("pool"))  # a pool of 20 items
-    seen = rated.join(F.broadcast(top.select(F.explode("pool").alias("item_id"))), "item_id").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
-    left = rated.select("user_id").distinct().join(seen, "user_id", "left").crossJoin(F.broadcast(top))
-    rest = F.array_except("pool", F.coalesce("seen", F.array().cast("array<bigint>")))
-    return left.select("user_id", F.size(rest).cast("bigint").alias("n_unseen"), F.array_min(rest).alias("first_item")).where("n_unseen > 0")
-
-
-@add("joi11_unseen_all", f"WITH r AS {RATINGS} SELECT user_id, count(*) AS n_unseen, min(item_id) AS first_item FROM (SELECT u.user_id, t.item_id FROM (SELECT DISTINCT user_id FROM r) u, (SELECT DISTINCT item_id FROM r) t EXCEPT SELECT user_id, item_id FROM r) GROUP BY 1")
+@add("joi11_unseen_candidates", f"WITH r AS {RATINGS} SELECT user_id, count(*) AS n_unseen, min(item_id) AS first_item FROM (SELECT u.user_id, t.item_id FROM (SELECT DISTINCT user_id FROM r) u, (SELECT DISTINCT item_id FROM r) t EXCEPT SELECT user_id, item_id FROM r) GROUP BY 1")
 def _(s, d):
     return unseen_summary(R(s, d))
 
@@ -389,7 +378,7 @@ def _(s, d):
 
 @add("agg34_similarity_percentiles", f"SELECT round(quantile_cont(sim, 0.75), 4) AS ts, round(quantile_cont(sim, 0.25), 4) AS to_ FROM {_COS}")
 def _(s, d):
-    q = M.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding", 4).agg(F.expr("percentile(sim, array(0.75, 0.25))").alias("q"))
+    q = M.cosine_pairs(table(s, d, "embeddings"), "vec_id", "embedding").agg(F.expr("percentile(sim, array(0.75, 0.25))").alias("q"))
     return q.select(F.round(F.col("q")[0], 4).alias("ts"), F.round(F.col("q")[1], 4).alias("to_"))
 
 
@@ -402,12 +391,11 @@ def _(s, d):
 
 # Windows, sorts, sets
 
-@add("win1_top_unseen", f"WITH r AS {RATINGS}, top AS (SELECT item_id, n FROM {N_ITEM} ORDER BY n DESC, item_id LIMIT 50) SELECT user_id, item_id, place FROM (SELECT u.user_id, t.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY t.n DESC, t.item_id) AS place FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN top t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.item_id = t.item_id)) WHERE place <= 5")
+@add("win1_top_unseen", f"WITH r AS {RATINGS}, top AS (SELECT item_id, n FROM {N_ITEM}) SELECT user_id, item_id, place FROM (SELECT u.user_id, t.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY t.n DESC, t.item_id) AS place FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN top t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.item_id = t.item_id)) WHERE place <= 5")
 def _(s, d):
     rated = R(s, d)
-    pool = F.broadcast(rated.groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(50))
-    fresh = rated.select("user_id").distinct().crossJoin(pool).join(rated, ["user_id", "item_id"], "left_anti")
-    return M.top_k(fresh, ["user_id"], "n", "item_id", 5).select("user_id", "item_id", "place")
+    counts = rated.groupBy("item_id").agg(F.count("*").alias("score"))
+    return recommend_unseen(counts, rated, 5).select("user_id", "item_id", "place")
 
 
 @add("win3_top_k", f"SELECT user_id, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS place FROM {RATINGS}) WHERE place <= 5")

@@ -21,7 +21,7 @@ def _csv(s, d, name, columns):
     return path
 
 
-@add("src1_csv_scan", "SELECT userId, movieId, rating FROM ratings")
+@add("src1_csv_scan", "SELECT userId, movieId, CASE WHEN isnan(rating) THEN NULL ELSE rating END AS rating FROM ratings")  # a typed scan reads NaN as no value
 def _(s, d):
     return S.read_csv(s, _csv(s, d, "ratings", ["userId", "movieId", "rating", "timestamp"]), S.RATINGS, ["userId", "movieId", "rating"])
 

@@ -55,6 +55,12 @@ def written(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, so that its functions can be loaded wherever they run; once an application."""
     context = spark.sparkContext

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.operators.ranking import with_position
 from marquee.session import table
 
 #: Genre values of a packed field, as an expression: quoted values whole, the placeholder away, the rest split.
@@ -37,18 +38,18 @@ def genres(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("item_id", F.explode("genres").alias("g")).select("item_id", F.lower("g").alias("genre")).distinct()
 
 
-def groups(rated: DataFrame, width: int = 40, size: int = 3) -> DataFrame:
-    """(group_id, members): a deterministic sample of groups, the first users of every stretch of ids with enough of them."""
-    users = rated.select("user_id").distinct().withColumn("group_id", F.floor(F.col("user_id") / width))
-    listed = users.groupBy("group_id").agg(F.slice(F.array_sort(F.collect_set("user_id")), 1, size).alias("members"))
+def groups(rated: DataFrame, size: int = 3) -> DataFrame:
+    """(group_id, members): all users in order of their ids, in groups of `size`; at most size - 1 users at the end are left over."""
+    placed = with_position(rated.select("user_id").distinct(), ["user_id"], "pos").withColumn("group_id", F.floor(F.col("pos") / size))
+    listed = placed.groupBy("group_id").agg(F.array_sort(F.collect_list("user_id")).alias("members"))
     return listed.where(F.size("members") == size)
 
 
-def votes(rated: DataFrame, width: int = 40, size: int = 3, window: int = 10) -> DataFrame:
+def votes(rated: DataFrame, size: int = 3, window: int = 10) -> DataFrame:
     """(group_id, user_id, round, pos, item_id, vote): every member votes on the own rated items in order of their ids."""
     from pyspark.sql import Window
 
-    member = groups(rated, width, size).select("group_id", F.explode("members").alias("user_id"))
+    member = groups(rated, size).select("group_id", F.explode("members").alias("user_id"))
     n = F.row_number().over(Window.partitionBy("group_id", "user_id").orderBy("item_id"))
     vote = F.when(F.col("rating") >= 3.5, 1).when(F.col("rating") <= 2.5, -1).otherwise(0)
     return rated.join(member, "user_id").select("group_id", "user_id", F.floor((n - 1) / window).cast("int").alias("round"), ((n - 1) % window + 1).alias("pos"), "item_id", vote.alias("vote"))
@@ -80,7 +81,7 @@ _SQL_TOKENS = r"""regexp_extract_all(genres, '"(?:[^"]|"")*"|“[^”]*”|\([nN
 ITEMS = rf"""(SELECT item_id, title, coalesce(list_filter(list_transform(list_filter({_SQL_TOKENS}, lambda t: t NOT LIKE '(%'), lambda t: regexp_replace(CASE WHEN t LIKE '"%' THEN replace(t[2:-2], '""', '"') WHEN t LIKE '“%' THEN t[2:-2] ELSE t END, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda t: t <> ''), []) AS genres,
     TRY_CAST(regexp_extract(title, '\((\d{{4}})\)', 1) AS INTEGER) AS year FROM (SELECT movieId AS item_id, title, genres, row_number() OVER (PARTITION BY movieId ORDER BY title NULLS LAST, genres NULLS LAST) AS rn FROM movies WHERE movieId IS NOT NULL) WHERE rn = 1)"""
 GENRES = f"(SELECT DISTINCT item_id, lower(g) AS genre FROM (SELECT item_id, unnest(genres) AS g FROM {ITEMS}))"
-GROUPS = f"(SELECT group_id, list_slice(list_sort(list(user_id)), 1, 3) AS members FROM (SELECT DISTINCT user_id, CAST(floor(user_id / 40) AS BIGINT) AS group_id FROM {RATINGS}) GROUP BY group_id HAVING count(*) >= 3)"
+GROUPS = f"(SELECT group_id, list(user_id ORDER BY user_id) AS members FROM (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) // 3 AS group_id FROM (SELECT DISTINCT user_id FROM {RATINGS})) GROUP BY group_id HAVING count(*) = 3)"
 VOTES = f"(SELECT group_id, user_id, CAST(floor((n - 1) / 10) AS INTEGER) AS round, (n - 1) % 10 + 1 AS pos, item_id, CASE WHEN rating >= 3.5 THEN 1 WHEN rating <= 2.5 THEN -1 ELSE 0 END AS vote FROM (SELECT g.group_id, r.user_id, r.item_id, r.rating, row_number() OVER (PARTITION BY g.group_id, r.user_id ORDER BY r.item_id) AS n FROM {RATINGS} r JOIN (SELECT group_id, unnest(members) AS user_id FROM {GROUPS}) g USING (user_id)))"
 REVIEWS = "(SELECT l_suppkey AS id, l_orderkey AS at, l_linenumber AS line, 'user ' || CAST(l_partkey % 50 AS VARCHAR) AS user, CAST(floor((l_quantity - 1) / 10) + 1 AS INTEGER) AS rating FROM lineitem)"
 FACTS = """(SELECT algorithm, w_size, group_type, bias, run_num, sum(q) / count(*) / 10 AS average, sum(CASE WHEN q > 20 THEN 1 ELSE 0 END) AS matched_count, count(*) AS total FROM (SELECT l_returnflag || l_linestatus || CAST(l_suppkey % 2 AS VARCHAR) AS algorithm, ([1, 3, 5, 10])[l_linenumber % 4 + 1] AS w_size, (['similar', 'outlier', 'divergent', 'variance', 'random'])[l_suppkey % 5 + 1] AS group_type, ([0.0, 0.5, 1.0, 2.0, 3.0])[l_partkey % 5 + 1]::DOUBLE AS bias, CAST(l_orderkey % 3 AS INTEGER) AS run_num, CAST(l_quantity AS BIGINT) AS q FROM lineitem) GROUP BY ALL)"""
