@@ -133,6 +133,25 @@ COMBINE = {
 }
 
 
+def simplex(x: np.ndarray) -> np.ndarray:
+    """Nothing below 0, and a sum of 1; even shares where nothing is left."""
+    x = np.maximum(x, 0.0)
+    total = x.sum()
+    return x / total if total > 1e-12 else np.full(len(x), 1 / max(1, len(x)))
+
+
+def in_order(x: np.ndarray, high: list[int], low: list[int], rate: float = 0.05, margin: float = 1e-3, most: int = 64) -> np.ndarray:
+    """CON14: x moved so that items of `high` come to stand above items of `low`: pair by pair, at most so many moves."""
+    x, moves = x.copy(), 0
+    for a in high:
+        for b in low:
+            if moves < most and x[a] <= x[b] + margin:
+                x[a] += rate
+                x[b] -= rate
+                x, moves = simplex(x), moves + 1
+    return x
+
+
 @dataclass
 class Session:
     """State of one group: scores (members x items) and everything shown, voted and queued so far."""
@@ -154,23 +173,36 @@ class Session:
     shown: dict[int, set[int]] = field(default_factory=dict)  # by user, new items offered so far
     slate_shown: set[int] = field(default_factory=set)
     excluded: set[int] = field(default_factory=set)
-    orders: dict[int, list[int]] = field(default_factory=dict)  # items best first by member's row, -1 for the profile
+    again: dict[int, set[int]] = field(default_factory=dict)  # by user, what the last round offered anew
 
     def __post_init__(self):
-        for u in self.users:
-            self.seen[u], self.queue[u], self.shown[u] = set(), {}, set()
         self.place = {int(i): k for k, i in enumerate(self.items)}
-        self.own = self.scores.astype(float).copy()  # what the sts engine moves
-        self.profile = COMBINE[self.p.aggregate](self.scores.astype(float)) if len(self.items) else np.zeros(0)
-        self.mean, self.deviation = (self.scores.mean(axis=1), self.scores.std(axis=1)) if len(self.items) else (np.zeros(len(self.users)),) * 2
+        self._begin()
+
+    def _begin(self) -> None:
+        """The members' engines at their start."""
+        for u in self.users:
+            self.seen.setdefault(u, set())
+            self.queue.setdefault(u, {})
+            self.shown[u] = set()
+        self.slate_shown = set()
+        scores = self.scores.astype(float)
+        self.own = np.array([simplex(x) for x in scores]) if self.p.engine == "sts" and len(self.items) else scores
+        self.actions = {u: 1.0 for u in self.users}  # votes so far, and one
+        self.orders = {}
+        if self.p.engine == "sts":
+            self._gather()
+        self.profile = COMBINE[self.p.aggregate](scores) if len(self.items) else np.zeros(0)
+        self.mean, self.deviation = (scores.mean(axis=1), scores.std(axis=1)) if len(self.items) else (np.zeros(len(self.users)),) * 2
 
     # Engines (CON13, CON14, CON15)
 
     def _best(self, row: int, n: int, without: set[int]) -> list[int]:
-        """The n best items of a member's row, -1 for the group profile; an order holds until its scores move."""
+        """The n best items of a member's row, -1 for what the group shares; an order holds until its scores move."""
         if row not in self.orders:
-            values = self.profile if row < 0 else self.own[row] if self.p.engine == "sts" else self.scores[row]
-            self.orders[row] = self.items[np.lexsort((self.items, -np.round(values, 9)))].tolist()
+            shared = self.crowd if self.p.engine == "sts" else self.profile
+            values = np.round(shared, 12) if row < 0 else np.round(self.scores[row], 9)
+            self.orders[row] = self.items[np.lexsort((self.items, -values))].tolist()
         out = []
         for i in self.orders[row]:
             if len(out) == n:
@@ -184,8 +216,8 @@ class Session:
 
         What is shown anew leaves the member's queue, so nobody is asked twice about one item.
         """
-        if self.p.engine == "group":
-            picked = self._best(-1, n, self.slate_shown | self.excluded | without)
+        if self.p.engine in ("group", "sts"):
+            picked = self._best(-1, n, self.slate_shown | self.shown[user] | self.excluded | without)
         else:
             picked = self._best(self.users.index(user), n, self.shown[user] | self.excluded | without)
         self.shown[user].update(picked)
@@ -194,7 +226,7 @@ class Session:
         return picked
 
     def _slate(self, n: int) -> list[int]:
-        picked = self._best(-1, n, self.slate_shown)
+        picked = self._best(-1, n, self.slate_shown | self.excluded)
         self.slate_shown.update(picked)
         return picked
 
@@ -209,23 +241,33 @@ class Session:
             self.profile[k] = (1 - self.p.alpha) * self.profile[k] + self.p.alpha * sum(s) / len(s)
         self.orders.pop(-1, None)
 
-    def _follow(self, votes: dict[int, dict[int, int]], rate: float = 0.05, margin: float = 1e-3, most: int = 64, blend: float = 0.6) -> None:
-        """CON14: liked items are moved above disliked ones on each member's simplex, at most so many times a round; then
-        a member's scores lean on the group's, members weighted by how much they voted."""
+    def _follow(self, votes: dict[int, dict[int, int]], blend: float = 0.6) -> None:
+        """CON14: every voter's profile leans on one inferred from the crowd's, in which liked items stand above neutral ones and
+        both above disliked ones; the crowd's is the mean of the members' by how much they have voted."""
+        crowd = self.crowd
         for row, u in enumerate(self.users):
-            up = [self.place[i] for i, v in votes[u].items() if v == 1]
-            down = [self.place[i] for i, v in votes[u].items() if v == -1]
-            x = np.maximum(self.own[row], 0)
-            x = x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / max(1, len(x)))
-            for a, b in [(a, b) for a in up for b in down][:most]:
-                if x[a] - x[b] < margin:
-                    step = rate * (margin - (x[a] - x[b]))
-                    x[a], x[b] = x[a] + step, max(0.0, x[b] - step)
-            self.own[row] = x / x.sum()
-        weight = np.array([1 + len(self.seen[u]) for u in self.users], float)
-        together = (self.own * weight[:, None]).sum(axis=0) / weight.sum()
-        self.own = blend * self.own + (1 - blend) * together
-        self.orders = {k: v for k, v in self.orders.items() if k < 0}
+            if not votes.get(u):
+                continue
+            kinds = [[self.place[i] for i, v in votes[u].items() if v == kind] for kind in (1, 0, -1)]
+            inferred = crowd
+            for high, low in ((0, 1), (1, 2), (0, 2)):
+                inferred = in_order(inferred, kinds[high], kinds[low])
+            self.actions[u] += len(votes[u])
+            self.own[row] = simplex(blend * self.own[row] + (1 - blend) * inferred)
+        self._gather()
+
+    def _gather(self) -> None:
+        weight = np.array([self.actions[u] for u in self.users])
+        self.crowd = simplex((self.own * weight[:, None]).sum(axis=0) / weight.sum()) if len(self.items) else np.zeros(0)
+        self.orders.clear()
+
+    def change_members(self, users: list[int], scores: np.ndarray) -> None:
+        """CON15: the group goes on with other members (scores: a row each). Whatever was shown to anybody stays excluded, the
+        engines start again, and likes, likers and the queues of members who stay are kept."""
+        shown = set().union(*self.shown.values(), self.slate_shown, *self.seen.values()) if self.users else set()
+        self.excluded |= shown
+        self.users, self.scores = list(users), scores
+        self._begin()
 
     # Redistribution (CON1-CON5, CON22)
 
@@ -293,7 +335,7 @@ class Session:
                 for u in self.users:
                     self.shown[u] = set()  # the iterators start again without what was shown to all
                     out[u] += self._new_items(u, p.w - take)
-                if p.engine == "group":
+                if p.engine in ("group", "sts"):
                     self.slate_shown.update(*map(set, out.values()))
             self.round += 1
             return out
@@ -316,9 +358,10 @@ class Session:
         for u in self.users:
             again = min(policy_size(p, k, len(self.queue[u])), len(self.queue[u]), p.w)
             offered = self._offered(u, again)
+            self.again[u] = set(offered)
             self.shown[u].update(offered)
             out[u] = self._new_items(u, p.w - again, frozenset(offered)) + offered
-        if p.engine == "group":
+        if p.engine in ("group", "sts"):
             self.slate_shown.update(*(set(v) for v in out.values()))
         self.round += 1
         return out
@@ -350,6 +393,93 @@ def play(session: Session) -> tuple[list[tuple], list[tuple]]:
     return log, found
 
 
+_NEXT = "params string, group_id bigint, user_id bigint, pos int, item_id bigint, again boolean"
+_QUEUE = "params string, group_id bigint, user_id bigint, item_id bigint, priority double"
+
+
+def _resumed(p: Params, scores: pd.DataFrame, votes: pd.DataFrame) -> tuple[Session, list[dict[int, dict[int, int]]]]:
+    """A session over a group's scores whose rounds so far were those of a vote log, and the votes of each."""
+    session = next(_sessions(scores, [p]))[1]
+    votes = votes[votes.user_id.isin(session.users) & votes.item_id.isin(session.place)]
+    rounds = []
+    for _, part in votes.groupby("round", sort=True):
+        given: dict[int, dict[int, int]] = {u: {} for u in session.users}
+        for user, item, vote in zip(part.user_id, part.item_id, part.vote):
+            given[int(user)][int(item)] = int(vote)
+            session.shown[int(user)].add(int(item))
+            session.slate_shown.add(int(item))
+        rounds.append(given)
+        session.round += 1
+    if p.approach == "hybrid":
+        session.delivered = p.preamble if rounds else 0
+    return session, rounds
+
+
+def _by_group(scores: DataFrame, votes: DataFrame, rows: Callable, schema: str) -> DataFrame:
+    ship(scores.sparkSession)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _typed(rows(left, right) if len(left) else [], schema)
+
+    left = scores.select("group_id", "user_id", "item_id", "score").groupBy("group_id")
+    return left.cogroup(votes.select("group_id", "user_id", "round", "item_id", "vote").groupBy("group_id")).applyInPandas(run, schema)
+
+
+def next_round(scores: DataFrame, votes: DataFrame, params: list[Params], joined: Callable | None = None) -> DataFrame:
+    """CON8, CON10, CON11, CON13, CON15: what the members are shown after the rounds of a vote log (round, user_id, item_id, vote).
+
+    scores: (group_id, user_id, item_id, score) of the items a group may be shown. again: offered anew from the queue.
+    joined: a function of the members that gives those the group goes on with; votes of others still count as shown.
+    """
+
+    def rows(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
+        out = []
+        for p in params:
+            session, rounds = _resumed(p, left, right)
+            if joined is not None:
+                stay = joined(session.users)
+                session.change_members(stay, session.scores[[session.users.index(u) for u in stay]])
+                rounds = [{u: given[u] for u in stay} for given in rounds]
+            for given in rounds[:-1]:
+                session._redistribute(given)
+            queued = {}
+            shown = session.recommend(rounds[-1] if rounds else {})
+            for u, items in shown.items():
+                queued[u] = session.again.get(u, set())
+                out += [(p.name, session.group, u, k, i, i in queued[u]) for k, i in enumerate(items, 1)]
+        return out
+
+    return _by_group(scores, votes, rows, _NEXT)
+
+
+def queues(scores: DataFrame, votes: DataFrame, params: list[Params]) -> DataFrame:
+    """CON3, CON4, CON5: every member's queue after the rounds of a vote log, with priorities."""
+
+    def rows(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
+        out = []
+        for p in params:
+            session, rounds = _resumed(p, left, right)
+            for given in rounds:
+                session._redistribute(given)
+            out += [(p.name, session.group, u, i, q) for u in session.users for i, q in session.queue[u].items()]
+        return out
+
+    return _by_group(scores, votes, rows, _QUEUE)
+
+
+def profiles(scores: DataFrame, votes: DataFrame, p: Params) -> DataFrame:
+    """CON14: (params, group_id, user_id, item_id, priority): the members' profiles after the rounds of a vote log, voted items only."""
+
+    def rows(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
+        session, rounds = _resumed(p, left, right)
+        for given in rounds:
+            session._follow(given)
+        voted = sorted({i for given in rounds for v in given.values() for i in v})
+        return [(p.name, session.group, u, i, float(session.own[row, session.place[i]])) for row, u in enumerate(session.users) for i in voted]
+
+    return _by_group(scores, votes, rows, _QUEUE)
+
+
 class Candidates:
     """Groups with the scores of all items of a model for every member, 0 throughout for a member without ratings.
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from marquee.operators import consensus as C
+from marquee.operators import groups as G
 from marquee.operators import metrics as E
 from marquee.operators.matrix import top_k
 from marquee.operators.models import Ease, group_scores
@@ -108,6 +109,103 @@ def _(s, d):
     return top_k(q, ["group_id", "user_id"], "priority", "item_id", 4).select("group_id", "user_id", "item_id", "place")
 
 
+# One round after a given one, by the round machine, against SQL. A group may be shown what any member has rated; a member's score
+# of an item is the own rating, else the item's mean.
+
+
+def group_scores_of_own_items(s, d):
+    rated = R(s, d)
+    member = V.groups(rated).select("group_id", F.explode("members").alias("user_id"))
+    means = rated.groupBy("item_id").agg(F.avg("rating").alias("mean"))
+    items = member.join(rated.select("user_id", "item_id"), "user_id").select("group_id", "item_id").distinct().join(means, "item_id")
+    every = member.join(items, "group_id").join(rated.select("user_id", "item_id", "rating"), ["user_id", "item_id"], "left")
+    return every.select("group_id", "user_id", "item_id", F.round(F.coalesce("rating", "mean"), 6).alias("score"))
+
+
+_M = f"(SELECT group_id, unnest(members) AS user_id FROM {GROUPS})"
+_S = f"""m AS MATERIALIZED (SELECT * FROM {_M}), r AS MATERIALIZED (SELECT user_id, item_id, rating FROM {RATINGS}), a AS (SELECT item_id, avg(rating) AS mean FROM r GROUP BY 1),
+    i AS (SELECT DISTINCT m.group_id, r.item_id FROM m JOIN r USING (user_id)), s AS MATERIALIZED (SELECT m.group_id, m.user_id, i.item_id, round(coalesce(r.rating, a.mean), 6) AS score FROM m JOIN i USING (group_id) JOIN a USING (item_id) LEFT JOIN r ON r.user_id = m.user_id AND r.item_id = i.item_id),
+    v AS MATERIALIZED (SELECT * FROM {VOTES}), v0 AS (SELECT * FROM v WHERE round = 0)"""
+
+
+def first_votes(s, d, rounds=1):
+    return V.votes(R(s, d)).where(F.col("round") < rounds)
+
+
+def _named(which, **changes):
+    return replace(next(p for p in C.catalogue(10) if p.name == which), **changes)
+
+
+@add("con3_dynamic_priority", f"""WITH {_S}, n AS (SELECT group_id, item_id, count(DISTINCT user_id) AS n FROM v0 WHERE vote = 1 GROUP BY 1, 2), x AS (SELECT *, score / sum(score) OVER (PARTITION BY group_id, user_id) AS own FROM s)
+    SELECT group_id, user_id, item_id, round(own * n, 9) AS priority FROM x JOIN n USING (group_id, item_id) WHERE NOT EXISTS (SELECT 1 FROM v0 WHERE v0.group_id = x.group_id AND v0.user_id = x.user_id AND v0.item_id = x.item_id)""")
+def _(s, d):
+    return C.queues(group_scores_of_own_items(s, d), first_votes(s, d), [_named("A3")]).select("group_id", "user_id", "item_id", F.round("priority", 9).alias("priority"))
+
+
+@add("con5_queue_after_two_rounds", f"""WITH {_S}, l0 AS (SELECT group_id, item_id, count(DISTINCT user_id) AS n FROM v WHERE round = 0 AND vote = 1 GROUP BY 1, 2), v1 AS (SELECT * FROM v WHERE round = 1), l1 AS (SELECT DISTINCT group_id, item_id FROM v1 WHERE vote = 1),
+    l01 AS (SELECT group_id, item_id, count(DISTINCT user_id) AS n FROM v WHERE round <= 1 AND vote = 1 GROUP BY 1, 2), has1 AS (SELECT DISTINCT group_id FROM v1),
+    q0 AS (SELECT s.group_id, s.user_id, s.item_id, s.score * l0.n AS priority FROM s JOIN l0 USING (group_id, item_id) WHERE NOT EXISTS (SELECT 1 FROM v0 WHERE v0.user_id = s.user_id AND v0.item_id = s.item_id)),
+    kept AS (SELECT * FROM q0 WHERE NOT EXISTS (SELECT 1 FROM v1 WHERE v1.group_id = q0.group_id AND v1.item_id = q0.item_id) OR EXISTS (SELECT 1 FROM l1 WHERE l1.group_id = q0.group_id AND l1.item_id = q0.item_id)),
+    fresh AS (SELECT s.group_id, s.user_id, s.item_id, s.score * l01.n AS priority FROM s JOIN l1 USING (group_id, item_id) JOIN l01 USING (group_id, item_id) WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.round <= 1 AND v.user_id = s.user_id AND v.item_id = s.item_id))
+    SELECT group_id, user_id, item_id, round(priority, 6) AS priority FROM fresh UNION ALL SELECT group_id, user_id, item_id, round(priority, 6) FROM kept WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.group_id = kept.group_id AND f.user_id = kept.user_id AND f.item_id = kept.item_id)""")
+def _(s, d):
+    return C.queues(group_scores_of_own_items(s, d), first_votes(s, d, 2), [_named("A1")]).select("group_id", "user_id", "item_id", F.round("priority", 6).alias("priority"))
+
+
+_OFFER = """n AS (SELECT group_id, item_id, count(DISTINCT user_id) AS n FROM {votes} WHERE vote = 1 GROUP BY 1, 2),
+    q AS (SELECT s.group_id, s.user_id, s.item_id, row_number() OVER (PARTITION BY s.group_id, s.user_id ORDER BY s.score * n.n DESC, s.item_id) AS k FROM s JOIN n USING (group_id, item_id) WHERE NOT EXISTS (SELECT 1 FROM {votes} w WHERE w.user_id = s.user_id AND w.item_id = s.item_id)),
+    o AS (SELECT * FROM q WHERE k <= {t}), size AS (SELECT m.group_id, m.user_id, count(o.item_id) AS again FROM m LEFT JOIN o ON o.user_id = m.user_id GROUP BY 1, 2)"""
+
+
+@add("con8_async_round", f"""WITH {_S}, {_OFFER.format(votes="v0", t=4)},
+    f AS (SELECT s.group_id, s.user_id, s.item_id, row_number() OVER (PARTITION BY s.group_id, s.user_id ORDER BY s.score DESC, s.item_id) AS k FROM s WHERE NOT EXISTS (SELECT 1 FROM v0 WHERE v0.user_id = s.user_id AND v0.item_id = s.item_id) AND NOT EXISTS (SELECT 1 FROM o WHERE o.user_id = s.user_id AND o.item_id = s.item_id)),
+    b AS (SELECT f.group_id, f.user_id, f.item_id, f.k, size.again FROM f JOIN size USING (group_id, user_id) WHERE f.k <= 10 - size.again), c AS (SELECT user_id, count(*) AS new FROM b GROUP BY 1)
+    SELECT group_id, user_id, CAST(k AS INTEGER) AS pos, item_id, false AS again FROM b UNION ALL SELECT o.group_id, o.user_id, CAST(coalesce(c.new, 0) + o.k AS INTEGER), o.item_id, true FROM o LEFT JOIN c ON c.user_id = o.user_id""")
+def _(s, d):
+    return C.next_round(group_scores_of_own_items(s, d), first_votes(s, d), [_named("A1", t=4)]).drop("params")
+
+
+@add("con10_hybrid_opening", f"""WITH {_S}, g AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY round(avg(score), 9) DESC, item_id) AS k FROM s GROUP BY 1, 2), slate AS (SELECT * FROM g WHERE k <= 7), n AS (SELECT group_id, count(*) AS n FROM slate GROUP BY 1),
+    own AS (SELECT s.group_id, s.user_id, s.item_id, row_number() OVER (PARTITION BY s.group_id, s.user_id ORDER BY s.score DESC, s.item_id) AS k FROM s WHERE NOT EXISTS (SELECT 1 FROM slate x WHERE x.group_id = s.group_id AND x.item_id = s.item_id))
+    SELECT m.group_id, m.user_id, CAST(k AS INTEGER) AS pos, item_id FROM slate JOIN m USING (group_id) UNION ALL SELECT own.group_id, user_id, CAST(n.n + k AS INTEGER), item_id FROM own JOIN n USING (group_id) WHERE k <= 3""")
+def _(s, d):
+    return C.next_round(group_scores_of_own_items(s, d), first_votes(s, d, 0), [_named("H0")]).select("group_id", "user_id", "pos", "item_id")
+
+
+@add("con10_hybrid_offers", f"""WITH {_S}, common AS (SELECT group_id, item_id FROM v0 GROUP BY 1, 2 HAVING count(DISTINCT user_id) = 3), told AS (SELECT v0.* FROM v0 WHERE NOT EXISTS (SELECT 1 FROM common b WHERE b.group_id = v0.group_id AND b.item_id = v0.item_id)), {_OFFER.format(votes="told", t=2)}
+    SELECT group_id, user_id, item_id FROM o""")
+def _(s, d):
+    return C.next_round(group_scores_of_own_items(s, d), first_votes(s, d), [_named("H0", policy="static", t=2)]).where("again").select("group_id", "user_id", "item_id")
+
+
+@add("con11_feedback_slate", f"""WITH {_S}, p AS (SELECT group_id, item_id, avg(score) AS p FROM s GROUP BY 1, 2), stars AS (SELECT group_id, item_id, avg(CASE vote WHEN 1 THEN 5.0 WHEN 0 THEN 3.0 ELSE 1.0 END) AS stars FROM v0 GROUP BY 1, 2),
+    x AS (SELECT p.group_id, p.item_id, row_number() OVER (PARTITION BY p.group_id ORDER BY round(CASE WHEN stars IS NULL THEN p ELSE 0.7 * p + 0.3 * stars END, 9) DESC, p.item_id) AS k FROM p LEFT JOIN stars USING (group_id, item_id) WHERE NOT EXISTS (SELECT 1 FROM v0 WHERE v0.group_id = p.group_id AND v0.item_id = p.item_id))
+    SELECT group_id, user_id, CAST(k AS INTEGER) AS pos, item_id FROM x JOIN m USING (group_id) WHERE k <= 10""")
+def _(s, d):
+    return C.next_round(group_scores_of_own_items(s, d), first_votes(s, d), [_named("S1")]).select("group_id", "user_id", "pos", "item_id")
+
+
+_AGG = {"mean": "avg(score)", "min": "min(score)", "max": "max(score)", "median": "median(score)"}
+
+
+@add("con13_group_slates", f"WITH {_S} " + " UNION ALL ".join(f"SELECT '{k}' AS params, group_id, user_id, CAST(k AS INTEGER) AS pos, item_id FROM (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY round({v}, 9) DESC, item_id) AS k FROM s GROUP BY 1, 2) JOIN m USING (group_id) WHERE k <= 10" for k, v in _AGG.items()) + " UNION ALL SELECT 'own', group_id, user_id, CAST(k AS INTEGER), item_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id, user_id ORDER BY score DESC, item_id) AS k FROM s) WHERE k <= 10")
+def _(s, d):
+    engines = [_named("A0", aggregate=a, name=a) for a in _AGG] + [_named("A1", name="own")]
+    return C.next_round(group_scores_of_own_items(s, d), first_votes(s, d, 0), engines).select("params", "group_id", "user_id", "pos", "item_id")
+
+
+@add("con14_profiles")
+def _(s, d):
+    return C.profiles(group_scores_of_own_items(s, d), first_votes(s, d, 2), _named("A3")).select("group_id", "user_id", "item_id", F.round("priority", 9).alias("share"))
+
+
+@add("con15_members_left", f"""WITH {_S}, stay AS (SELECT group_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY user_id) AS k FROM m) WHERE k <= 2),
+    x AS (SELECT s.group_id, s.item_id, row_number() OVER (PARTITION BY s.group_id ORDER BY round(avg(score), 9) DESC, s.item_id) AS k FROM s JOIN stay USING (group_id, user_id) WHERE NOT EXISTS (SELECT 1 FROM v0 WHERE v0.group_id = s.group_id AND v0.item_id = s.item_id) GROUP BY 1, 2)
+    SELECT group_id, user_id, CAST(k AS INTEGER) AS pos, item_id FROM x JOIN stay USING (group_id) WHERE k <= 10""")
+def _(s, d):
+    return C.next_round(group_scores_of_own_items(s, d), first_votes(s, d), [_named("S0")], joined=lambda users: users[:2]).select("group_id", "user_id", "pos", "item_id")
+
+
 @add("con18_round_log_sync")
 def _(s, d):
     return C.round_log(candidates(s, d), scaled(p for p in C.catalogue(10) if p.name == "S0"))
@@ -118,6 +216,25 @@ def _(s, d):
     return C.summary(C.outcomes(candidates(s, d), scaled(C.catalogue(10)))).select("params", F.round("rfc", 4).alias("rfc"), F.round("success_rate", 4).alias("success_rate"), "n_groups")
 
 
+def _swept(s, d, params):
+    return C.summary(C.outcomes(candidates(s, d), scaled(params))).select("params", F.round("rfc", 4).alias("rfc"), F.round("success_rate", 4).alias("success_rate"))
+
+
+@add("con20_sigmoid_sweep")
+def _(s, d):
+    return _swept(s, d, C.grid(_named("A2"), center=[2.0, 5.0], steepness=[0.7, 1.4], c_init=[0.1, 0.2]))
+
+
+@add("con20_hybrid_sweep")
+def _(s, d):
+    return _swept(s, d, C.grid(_named("H0"), preamble=[4, 7], center=[2.0, 5.0], c_init=[0.1, 0.2]) + C.grid(_named("H1"), preamble=[4, 7], alpha=[0.1, 0.3]))
+
+
+@add("con20_feedback_sweep")
+def _(s, d):
+    return _swept(s, d, C.grid(_named("S1"), alpha=[0.1, 0.2, 0.3, 0.4, 0.7], aggregate=["mean", "min", "max", "median", "plurality"]))
+
+
 @add("con20_static_sweep")
 def _(s, d):
     a1 = next(p for p in C.catalogue(5) if p.name == "A1")
@@ -126,7 +243,14 @@ def _(s, d):
 
 @add("con21_large_groups")
 def _(s, d):
-    return C.summary(C.outcomes(candidates(s, d, 5), scaled(p for p in C.catalogue(10) if p.name in ("A1", "H0", "S0")))).select("params", F.round("success_rate", 4).alias("success_rate"), "n_groups")
+    rated = R(s, d)
+    model, out = Ease(rated).fit(500.0), None
+    for size in (3, 5, 7, 10):
+        groups = G.random_groups(rated, 500, size)
+        played = C.outcomes(C.Candidates(groups, rated, model), scaled(p for p in C.catalogue(10) if p.name in ("A1", "H0", "S0")))
+        row = C.summary(played).select(F.lit(size).alias("group_size"), "params", F.round("rfc", 4).alias("rfc"), F.round("success_rate", 4).alias("success_rate"), "n_groups")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @add("met2_group_ndcg", f"""WITH t AS (SELECT user_id, item_id FROM {RATINGS} WHERE rating >= 4.5), k AS (SELECT group_id, item_id, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, item_id) AS place FROM {_MEAN}), g AS (SELECT group_id, unnest(members) AS user_id FROM {GROUPS}),
