@@ -37,8 +37,67 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> tup
     return model.transform(data).select(key, F.col("prediction").alias("cluster")), model.summary.trainingCost
 
 
+def item_features(rated: DataFrame, tags: DataFrame, genres: list[str]) -> DataFrame:
+    """CLU1: (item_id, features): genre one-hots, popularity between 0 and 1 and mean rating over 5, each standardised."""
+    c = rated.groupBy("item_id").agg(F.count("*").cast("double").alias("n"), (F.avg("rating") / 5).alias("rating"))
+    span = c.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    hot = tags.where(F.col("genre").isin(genres)).groupBy("item_id").agg(F.collect_set("genre").alias("g"))
+    wide = c.crossJoin(F.broadcast(span)).join(hot, "item_id", "left")
+    has = lambda g: F.coalesce(F.array_contains("g", g).cast("double"), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("n") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    names = [f"f{i}" for i in range(len(genres))] + ["popularity", "rating"]
+    flat = wide.select("item_id", *[has(g).alias(f"f{i}") for i, g in enumerate(genres)], share.alias("popularity"), "rating")
+    return standardised(flat, names).select("item_id", F.array(*names).alias("features"))
+
+
+def k_means_sweep(df: DataFrame, key: str, vector: str, ks: list[int], seed: int = 42) -> DataFrame:
+    """CLU2: (k, silhouette, cost, elbow) for every k: mean silhouette (squared Euclidean), sum of squares within clusters, and
+    whether k is the elbow of the costs."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    data = written(df.select(key, F.col(vector).cast("array<double>").alias("v")).where(F.col(key).isNotNull() & F.col(vector).isNotNull()), "vectors")
+    points = data.select(key, array_to_vector("v").alias("features"))
+    rows = []
+    for k in ks:
+        labels, cost = k_means(data, key, "v", k, seed)
+        found = labels.select("cluster").distinct().count()
+        silhouette = ClusteringEvaluator(predictionCol="cluster").evaluate(points.join(labels, key)) if found > 1 else None
+        rows.append((k, silhouette, float(cost)))
+    elbow = knee([(k, c) for k, _, c in rows])
+    return df.sparkSession.createDataFrame([(*r, r[0] == elbow) for r in rows], "k int, silhouette double, cost double, elbow boolean")
+
+
+def pearson_sweep(df: DataFrame, key: str, vector: str, ks: list[int]) -> DataFrame:
+    """CLU5: (k, cost, elbow) for every k: the sum of 1 - correlation with the own centre, and whether k is its elbow."""
+    rows = [(k, float(pearson_k_means(df, key, vector, k)[1])) for k in ks]
+    elbow = knee(rows)
+    return df.sparkSession.createDataFrame([(*r, r[0] == elbow) for r in rows], "k int, cost double, elbow boolean")
+
+
+def user_clusters(rated: DataFrame, tags: DataFrame, genres: list[str], k: int, seed: int = 42) -> DataFrame:
+    """SMP1: (user_id, cluster) by k-means of the users' mean ratings by genre; a genre not rated counts as the user's mean."""
+    means = rated.join(tags.where(F.col("genre").isin(genres)), "item_id").groupBy("user_id").pivot("genre", genres).agg(F.avg("rating"))
+    own = rated.groupBy("user_id").agg(F.avg("rating").alias("__mean"))
+    wide = means.join(own, "user_id").select("user_id", F.array(*[F.coalesce(F.col(f"`{g}`"), "__mean") for g in genres]).alias("v"))
+    return k_means(wide, "user_id", "v", k, seed)[0]
+
+
+def pool_of_top_rated(rated: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
+    """SMP1: (cluster, item_id): the n best rated items of every user of a cluster (5, or a pool of 100)."""
+    best = rated.withColumn("__i", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("rating"), "item_id"))).where(F.col("__i") <= n)
+    return best.join(clusters, "user_id").select("cluster", "item_id").distinct()
+
+
+def pool_of_top_genres(rated: DataFrame, tags: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
+    """SMP1: (cluster, item_id): items with one of the n best rated genres of some user of a cluster."""
+    means = rated.join(tags, "item_id").groupBy("user_id", "genre").agg(F.round(F.avg("rating"), 6).alias("m"))
+    best = means.withColumn("__i", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("m"), "genre"))).where(F.col("__i") <= n)
+    return best.join(clusters, "user_id").select("cluster", "genre").distinct().join(tags, "genre").select("cluster", "item_id").distinct()
+
+
 def knee(points: list[tuple[float, float]]) -> float:
-    """For the elbows of CLU2 and CLU5, whose sweeps over k are not built: the x whose point lies furthest from the chord of a falling curve; nan for fewer than three points."""
+    """CLU2, CLU5: the elbow of a sweep over k: the x whose point lies furthest from the chord of a falling curve; nan for fewer than three points."""
     if len(points) < 3:
         return math.nan
     x, y = (np.array(v, float) for v in zip(*sorted(points)))
@@ -96,7 +155,7 @@ def fuzzy_c_means(df: DataFrame, key: str, vector: str, k: int, m: float = 2.0,
 def pearson_k_means(df: DataFrame, key: str, vector: str, k: int, tolerance: float = 1e-4, most: int = 300) -> tuple[DataFrame, float]:
     """CLU4, and one k of CLU5: (key, cluster) by greatest correlation with mean centroids, and the sum of 1 - correlation.
 
-    Correlation is the cosine of centred vectors. An empty cluster keeps its centre. Centres that still move after `most`
+    Correlation is the cosine of centred vectors. An empty cluster starts again from a vector that fits its centre worst. Centres that still move after `most`
     rounds are warned of.
     """
     raw = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null")
@@ -116,6 +175,10 @@ def pearson_k_means(df: DataFrame, key: str, vector: str, k: int, tolerance: flo
 
     for _ in range(most):
         moved = _centroids(placed(centres), len(centres), "w")
+        empty = np.flatnonzero(np.isnan(moved).all(axis=1))
+        if len(empty):
+            worst = placed(centres).orderBy("best", "key").limit(len(empty)).select("v").collect()
+            moved[empty[: len(worst)]] = np.array([r.v for r in worst])
         moved = np.where(np.isnan(moved), centres, moved)
         done = np.allclose(moved, centres, atol=tolerance)
         centres = moved

@@ -45,9 +45,24 @@ def gram(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
     return cell_pairs(df, row, col, value).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"), F.count("*").alias("n"))
 
 
-def corated_cosine(df: DataFrame, row: str, col: str, value: str, least: int = 1) -> DataFrame:
-    """REC5: cosine over co-rated entries only: (i, j, sim, n) with i < j."""
-    s = cell_pairs(df, row, col, value).where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("n"))
+def corated_cosine(df: DataFrame, row: str, col: str, value: str, least: int = 1, chunk: int = CHUNK) -> DataFrame:
+    """REC5: cosine over co-rated entries only: (i, j, sim, n) with i < j and n >= least common rows.
+
+    Two columns with `least` common rows have one outside any least - 1 rows. So the largest rows, at most least - 1 of those
+    beyond `chunk` cells, make no pairs; their products are added to the pairs that the other rows make.
+    """
+    cells = written(df.select(F.col(row).alias("k"), F.col(col).alias("i"), F.col(value).alias("x")), "cells")
+    sizes = cells.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    largest = [r.k for r in sizes.orderBy(F.desc("n"), "k").limit(least - 1).collect()] if least > 1 else []
+    rest = cells.where(~F.col("k").isin(largest)) if largest else cells
+    s = cell_pairs(rest, "k", "i", "x", chunk).where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("n"))
+    if largest:
+        held = cells.where(F.col("k").isin(largest)).groupBy("i").agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(f"v{n}") for n, k in enumerate(largest)])
+        v = F.array(*[F.col(f"v{n}") for n in range(len(largest))])
+        s = s.join(held.select("i", v.alias("a")), "i", "left").join(held.select(F.col("i").alias("j"), v.alias("b")), "j", "left")
+        both = F.filter(F.arrays_zip(F.coalesce("a", F.array().cast("array<double>")), F.coalesce("b", F.array().cast("array<double>"))), lambda z: z["0"].isNotNull() & z["1"].isNotNull())
+        more = lambda f: F.aggregate(both, F.lit(0.0), lambda t, z: t + f(z))
+        s = s.select("i", "j", (F.col("xy") + more(lambda z: z["0"] * z["1"])).alias("xy"), (F.col("xx") + more(lambda z: z["0"] * z["0"])).alias("xx"), (F.col("yy") + more(lambda z: z["1"] * z["1"])).alias("yy"), (F.col("n") + F.size(both)).alias("n"))
     return s.where(F.col("n") >= least).select("i", "j", (F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("sim"), "n")
 
 

@@ -207,23 +207,102 @@ def penalty_sweep(model: Ease, rated: DataFrame, held: DataFrame, penalties: lis
     return out
 
 
-def item_neighbours(rated: DataFrame, k: int, least: int = 2) -> DataFrame:
-    """REC5: (i, j, sim, place): each item's k nearest by cosine over co-rated entries, rounded so that ties are ties."""
-    half = corated_cosine(rated, "user_id", "item_id", "rating", least).withColumn("sim", F.round("sim", 6))
-    both = half.select("i", "j", "sim").unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
-    return top_k(both.where("sim > 0"), ["i"], "sim", "j", k)
+def similarities(rated: DataFrame, least: int = 2, row: str = "user_id", col: str = "item_id") -> DataFrame:
+    """REC5: (i, j, sim) in both directions, sim > 0: cosine over co-rated entries of two items (or users, with row and col
+    exchanged) with at least so many, rounded so that ties are ties."""
+    half = corated_cosine(rated, row, col, "rating", least).withColumn("sim", F.round("sim", 6)).where("sim > 0")
+    return half.select("i", "j", "sim").unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
 
 
-def knn_predictions(rated: DataFrame, neighbours: DataFrame, wanted: DataFrame) -> DataFrame:
-    """REC5: (user_id, item_id, est) for wanted (user_id, item_id): similarity-weighted mean over rated neighbours; the
-    global mean where no neighbour is rated."""
+def neighbours(rated: DataFrame, k: int, least: int = 2, row: str = "user_id", col: str = "item_id") -> DataFrame:
+    """REC5: (i, j, sim, place): the k nearest of every item (or user)."""
+    return top_k(similarities(rated, least, row, col), ["i"], "sim", "j", k)
+
+
+def knn_predictions(rated: DataFrame, near: DataFrame, wanted: DataFrame, k: int = 20, by: str = "item_id") -> DataFrame:
+    """REC5: (user_id, item_id, est) for wanted (user_id, item_id): similarity-weighted mean over the k nearest items the user
+    rated, or with by='user_id' over the k nearest users who rated the item; the global mean where there are none.
+
+    near: similarities (i, j, sim) of items or users.
+    """
+    other = "user_id" if by == "item_id" else "item_id"
     mean = rated.agg(F.avg("rating").alias("mu"))
-    near = wanted.join(neighbours.select(F.col("i").alias("item_id"), "j", "sim"), "item_id")
-    hits = near.join(rated.select("user_id", F.col("item_id").alias("j"), "rating"), ["user_id", "j"])
-    est = hits.groupBy("user_id", "item_id").agg((F.sum(F.col("sim") * F.col("rating")) / F.sum("sim")).alias("est"))
+    wanted = written(wanted.select("user_id", "item_id").distinct(), "wanted")
+    facts = rated.select(F.col(other), F.col(by).alias("j"), "rating")
+    if by == "item_id":  # a user's own items are fewer than an item's neighbours
+        hits = wanted.join(facts, other).withColumnRenamed("item_id", "i").join(near.select("i", "j", "sim"), ["i", "j"]).withColumnRenamed("i", "item_id")
+    else:
+        hits = wanted.withColumnRenamed("user_id", "i").join(near.select("i", "j", "sim"), "i").join(facts, [other, "j"]).withColumnRenamed("i", "user_id")
+    best = top_k(hits, ["user_id", "item_id"], "sim", "j", k)
+    est = best.groupBy("user_id", "item_id").agg((F.sum(F.col("sim") * F.col("rating")) / F.sum("sim")).alias("est"))
     return wanted.join(est, ["user_id", "item_id"], "left").crossJoin(F.broadcast(mean)).select("user_id", "item_id", F.coalesce("est", "mu").alias("est"))
 
 
+def memory_knn_rmse(rated: DataFrame, sizes: list[int], margin: int = 5, k: int = 9, seed: int = 42) -> DataFrame:
+    """REC9: (n_ratings, n_users, rmse): how well a user is predicted from the first n of the own ratings, in hash order.
+
+    For every n, each user with more than n + margin ratings is reduced to n of them. Neighbours are the k other users of
+    greatest correlation over all items (absent ratings count as 0) that share an item; predictions are mean-centred, the
+    user's mean where no neighbour has rated the item; rmse is averaged over users.
+    """
+    from marquee.operators.splits import hash_order
+
+    facts = written(rated.select("user_id", "item_id", F.col("rating").cast("double").alias("rating")), "facts")
+    n_items = facts.select("item_id").distinct().count()
+    sums = facts.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("rating").alias("s"), F.sum(F.col("rating") * F.col("rating")).alias("ss"))
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy(hash_order("user_id", "item_id", seed), "item_id"))
+    asked = facts.sparkSession.createDataFrame([(n,) for n in sizes], "size int")
+    placed = facts.withColumn("i", order).join(sums.select("user_id", "n"), "user_id").join(F.broadcast(asked), F.col("n") > F.col("size") + margin)
+    placed = written(placed.select("size", "user_id", "item_id", "rating", (F.col("i") <= F.col("size")).alias("train")), "reduced")
+    train = placed.where("train")
+    mine = train.groupBy("size", "user_id").agg(F.sum("rating").alias("a"), F.sum(F.col("rating") * F.col("rating")).alias("aa"), F.avg("rating").alias("mean"))
+    dots = train.join(facts.select(F.col("user_id").alias("other"), "item_id", F.col("rating").alias("y")), "item_id").where("user_id <> other").groupBy("size", "user_id", "other").agg(F.sum(F.col("rating") * F.col("y")).alias("xy"))
+    full = dots.join(mine, ["size", "user_id"]).join(sums.select(F.col("user_id").alias("other"), "s", "ss", (F.col("s") / F.col("n")).alias("other_mean")), "other")
+    up = n_items * F.col("xy") - F.col("a") * F.col("s")
+    down = F.sqrt((n_items * F.col("aa") - F.col("a") * F.col("a")) * (n_items * F.col("ss") - F.col("s") * F.col("s")))
+    near = top_k(full.withColumn("sim", F.round(F.try_divide(up, down), 9)).where("sim is not null"), ["size", "user_id"], "sim", "other", k)
+    test = placed.where("not train").select("size", "user_id", "item_id", F.col("rating").alias("truth"))
+    hits = test.join(near, ["size", "user_id"]).join(facts.select(F.col("user_id").alias("other"), "item_id", "rating"), ["other", "item_id"])
+    moved = hits.groupBy("size", "user_id", "item_id").agg(F.try_divide(F.sum((F.col("rating") - F.col("other_mean")) * F.col("sim")), F.sum(F.abs("sim"))).alias("moved"))
+    errors = test.join(moved, ["size", "user_id", "item_id"], "left").join(mine.select("size", "user_id", "mean"), ["size", "user_id"])
+    off = F.col("truth") - F.col("mean") - F.coalesce("moved", F.lit(0.0))
+    by_user = errors.groupBy("size", "user_id").agg(F.sqrt(F.avg(off * off)).alias("rmse"))
+    return by_user.groupBy(F.col("size").alias("n_ratings")).agg(F.count("*").alias("n_users"), F.avg("rmse").alias("rmse"))
+
+
+def recency_rerank(scores: DataFrame, years: DataFrame, k: int, pool: int = 50, beta: float = 0.3, decay: float = 0.05, now: int = 2025) -> DataFrame:
+    """REC15, WIN15: (user_id, item_id, score, place): of each user's `pool` best, the k best by score * (beta + (1 - beta) *
+    exp(-decay * age)); an item without a year counts as new."""
+    aged = scores.where(F.col("place") <= pool).join(years.select("item_id", "year"), "item_id", "left")
+    recency = F.exp(-decay * (now - F.coalesce("year", F.lit(now))))
+    return top_k(aged.withColumn("score", F.round(F.col("score") * (beta + (1 - beta) * recency), 9)).select("user_id", "item_id", "score"), ["user_id"], "score", "item_id", k)
+
+
+def neighbour_sweep(rated: DataFrame, held: DataFrame, ks: list[int], least: int = 2) -> DataFrame:
+    """REC16: (k, rmse) of item neighbour predictions of held-out (user_id, item_id, rating); similarities are computed once."""
+    near, out = written(similarities(rated, least), "near"), None
+    for k in ks:
+        est = knn_predictions(rated, near, held, k).join(held.select("user_id", "item_id", "rating"), ["user_id", "item_id"])
+        row = est.agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("est"), F.lit(2)))).alias("rmse")).select(F.lit(k).alias("k"), "rmse")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+class Rescored:
+    """WIN2: an iterator over every user's items that are not shown yet; each step ranks them by the scores it is given."""
+
+    def __init__(self, rated: DataFrame):
+        self.rated, self.shown = rated.select("user_id", "item_id").distinct(), None
+
+    def next(self, scores: DataFrame, k: int) -> DataFrame:
+        """(user_id, item_id, score, place): the k best by (item_id, score) that are neither rated nor shown before."""
+        gone = self.rated if self.shown is None else self.rated.unionByName(self.shown)
+        out = written(recommend_unseen(scores, gone, k), "step")
+        step = out.select("user_id", "item_id")
+        self.shown = step if self.shown is None else self.shown.unionByName(step)
+        return out
+
+
 def baseline_biases(rated: DataFrame, sweeps: int = 2, damp_user: float = 15.0, damp_item: float = 10.0) -> tuple[float, DataFrame, DataFrame]:
     """REC7: mean and damped biases (user_id, bu), (item_id, bi) by alternating sweeps, items first."""
     facts = rated.select("user_id", "item_id", "rating")

@@ -60,20 +60,106 @@ def _(s, d):
     return ranked(s, d)[0].select("user_id", "item_id", "place")
 
 
-_SIM = f"(SELECT a.item_id AS i, b.item_id AS j, round(sum(a.rating * b.rating) / sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)), 6) AS sim FROM {RATINGS} a JOIN {RATINGS} b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2 HAVING count(*) >= 3)"
-_NEAR = f"(SELECT i, j, sim, place FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS place FROM {_SIM} WHERE sim > 0) WHERE place <= 20)"
+def _sim_sql(row, col):
+    half = f"SELECT a.{col} AS i, b.{col} AS j, round(sum(a.rating * b.rating) / sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)), 6) AS sim FROM {RATINGS} a JOIN {RATINGS} b ON a.{row} = b.{row} AND a.{col} < b.{col} GROUP BY 1, 2 HAVING count(*) >= 3"
+    return f"(SELECT * FROM (SELECT i, j, sim FROM ({half}) UNION ALL SELECT j, i, sim FROM ({half})) WHERE sim > 0)"
 
 
-@add("rec5_item_neighbours", f"SELECT i, j, place FROM {_NEAR}")
+def _near_sql(row, col):
+    return f"SELECT i, j, place FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS place FROM {_sim_sql(row, col)}) WHERE place <= 20"
+
+
+def _knn_sql(row, col):
+    """Predictions of the liked test pairs: the 20 nearest that the user (or that users) rated."""
+    return f"""WITH r AS MATERIALIZED (SELECT user_id, item_id, rating FROM {RATINGS}), t AS {LIKED}, n AS MATERIALIZED {_sim_sql(row, col)}, h AS (SELECT t.user_id, t.item_id, n.sim, r.rating, row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY n.sim DESC, n.j) AS k FROM t JOIN r ON r.{row} = t.{row} JOIN n ON n.i = t.{col} AND n.j = r.{col}),
+    e AS (SELECT user_id, item_id, sum(sim * rating) / sum(sim) AS est FROM h WHERE k <= 20 GROUP BY 1, 2) SELECT t.user_id, t.item_id, round(coalesce(e.est, (SELECT avg(rating) FROM r)), 4) AS est FROM t LEFT JOIN e ON e.user_id = t.user_id AND e.item_id = t.item_id"""
+
+
+@add("rec5_item_neighbours", _near_sql("user_id", "item_id"))
 def _(s, d):
-    return O.item_neighbours(R(s, d), 20, 3).select("i", "j", "place")
+    return O.neighbours(R(s, d), 20, 3).select("i", "j", "place")
 
 
-@add("rec5_knn_predictions", f"WITH t AS (SELECT user_id, item_id FROM {LIKED}), e AS (SELECT t.user_id, t.item_id, sum(n.sim * r.rating) / sum(n.sim) AS est FROM t JOIN {_NEAR} n ON n.i = t.item_id JOIN {RATINGS} r ON r.user_id = t.user_id AND r.item_id = n.j GROUP BY 1, 2) SELECT t.user_id, t.item_id, round(coalesce(e.est, (SELECT avg(rating) FROM {RATINGS})), 4) AS est FROM t LEFT JOIN e ON e.user_id = t.user_id AND e.item_id = t.item_id")
+@add("rec5_user_neighbours", _near_sql("item_id", "user_id"))
+def _(s, d):
+    return O.neighbours(R(s, d), 20, 3, "item_id", "user_id").select("i", "j", "place")
+
+
+@add("rec5_knn_predictions", _knn_sql("user_id", "item_id"))
 def _(s, d):
     rated = R(s, d)
     _, held = split(s, d)
-    return O.knn_predictions(rated, O.item_neighbours(rated, 20, 3), held).withColumn("est", F.round("est", 4))
+    return O.knn_predictions(rated, O.similarities(rated, 3), held).withColumn("est", F.round("est", 4))
+
+
+@add("rec5_user_predictions", _knn_sql("item_id", "user_id"))
+def _(s, d):
+    rated = R(s, d)
+    _, held = split(s, d)
+    return O.knn_predictions(rated, O.similarities(rated, 3, "item_id", "user_id"), held, by="user_id").withColumn("est", F.round("est", 4))
+
+
+@add("rec3_user_based_top10")
+def _(s, d):
+    train, _ = split(s, d)
+    return O.Ease(train, norm="col", row="item_id", col="user_id").fit(500.0).column_scores(train, 10).withColumn("score", F.round("score", 4))
+
+
+_SIZES = [5, 10, 15, 20]
+_KNN_SIZE = """SELECT {n} AS n_ratings, count(*) AS n_users, round(avg(rmse), 4) AS rmse FROM (SELECT user_id, sqrt(avg((truth - mean - coalesce(moved, 0)) ** 2)) AS rmse FROM (
+    SELECT t.user_id, t.item_id, any_value(t.rating) AS truth, any_value(q.mean) AS mean, sum((f.rating - x.other_mean) * x.sim) FILTER (f.rating IS NOT NULL) / sum(abs(x.sim)) FILTER (f.rating IS NOT NULL) AS moved
+    FROM o t JOIN q{n} q ON q.user_id = t.user_id LEFT JOIN x{n} x ON x.user_id = t.user_id LEFT JOIN f ON f.user_id = x.other AND f.item_id = t.item_id WHERE t.i > {n} GROUP BY 1, 2) GROUP BY 1)"""
+_KNN_STEPS = """q{n} AS MATERIALIZED (SELECT user_id, sum(rating) AS a, sum(rating * rating) AS aa, avg(rating) AS mean FROM o WHERE n > {n} + 5 AND i <= {n} GROUP BY 1),
+    d{n} AS (SELECT o.user_id, f.user_id AS other, sum(o.rating * f.rating) AS xy FROM o JOIN f ON f.item_id = o.item_id AND f.user_id <> o.user_id WHERE o.n > {n} + 5 AND o.i <= {n} GROUP BY 1, 2),
+    c{n} AS (SELECT d.user_id, d.other, round(({m} * xy - q.a * u.s) / sqrt(({m} * q.aa - q.a * q.a) * ({m} * u.ss - u.s * u.s)), 9) AS sim, u.s / u.n AS other_mean FROM d{n} d JOIN q{n} q ON q.user_id = d.user_id JOIN u ON u.user_id = d.other),
+    x{n} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, other) AS k FROM c{n}) WHERE k <= 9)"""
+_N_ITEMS = "(SELECT count(DISTINCT item_id) FROM f)"
+
+
+@add("rec9_rmse_by_ratings", f"WITH f AS MATERIALIZED (SELECT user_id, item_id, rating FROM {RATINGS}), u AS (SELECT user_id, count(*) AS n, sum(rating) AS s, sum(rating * rating) AS ss FROM f GROUP BY 1), o AS MATERIALIZED (SELECT f.*, u.n, row_number() OVER (PARTITION BY f.user_id ORDER BY (f.user_id * 2654435761 + f.item_id * 40503 + 42) % 1000003, f.item_id) AS i FROM f JOIN u USING (user_id)), " + ", ".join(_KNN_STEPS.format(n=n, m=_N_ITEMS) for n in _SIZES) + " " + " UNION ALL ".join(_KNN_SIZE.format(n=n) for n in _SIZES))
+def _(s, d):
+    return O.memory_knn_rmse(R(s, d), _SIZES).withColumn("rmse", F.round("rmse", 4))
+
+
+@add("rec15_recency_rerank")
+def _(s, d):
+    train, _ = split(s, d)
+    return O.recency_rerank(O.Ease(train).fit(500.0).scores(train, 50), V.items(s, d), 10).withColumn("score", F.round("score", 4))
+
+
+@add("rec16_neighbour_sweep")
+def _(s, d):
+    train, _ = split(s, d)
+    held = R(s, d).where(TEST).select("user_id", "item_id", "rating")
+    return O.neighbour_sweep(train, held, [5, 10, 20, 40], 3).withColumn("rmse", F.round("rmse", 4))
+
+
+_MEANS = f"(SELECT item_id, round(avg(rating), 6) AS score FROM {RATINGS} GROUP BY 1)"
+_COUNTS = f"(SELECT item_id, count(*) AS score FROM {RATINGS} GROUP BY 1)"
+
+
+def _unseen_sql(scores, gone, k):
+    return f"(SELECT user_id, item_id, place FROM (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY p.score DESC, p.item_id) AS place FROM (SELECT DISTINCT user_id FROM {RATINGS}) u CROSS JOIN {scores} p WHERE NOT EXISTS (SELECT 1 FROM {gone} t WHERE t.user_id = u.user_id AND t.item_id = p.item_id)) WHERE place <= {k})"
+
+
+_STEP1 = _unseen_sql(_COUNTS, RATINGS, 5)
+
+
+@add("win2_rescored", f"WITH a AS MATERIALIZED {_STEP1}, gone AS MATERIALIZED (SELECT user_id, item_id FROM {RATINGS} UNION ALL SELECT user_id, item_id FROM a) SELECT 1 AS step, user_id, item_id, place FROM a UNION ALL SELECT 2, user_id, item_id, place FROM {_unseen_sql(_MEANS, 'gone', 5)}")
+def _(s, d):
+    rated = R(s, d)
+    items = O.Rescored(rated)
+    by_count = rated.groupBy("item_id").agg(F.count("*").cast("double").alias("score"))
+    by_mean = rated.groupBy("item_id").agg(F.round(F.avg("rating"), 6).alias("score"))
+    steps = [items.next(by_count, 5).withColumn("step", F.lit(1)), items.next(by_mean, 5).withColumn("step", F.lit(2))]
+    return steps[0].unionByName(steps[1]).select("step", "user_id", "item_id", "place")
+
+
+@add("win4_masked_topk", f"SELECT user_id, item_id, place FROM {_unseen_sql(_MEANS, RATINGS, 5)}")
+def _(s, d):
+    rated = R(s, d)
+    means = rated.groupBy("item_id").agg(F.round(F.avg("rating"), 6).alias("score"))
+    return O.recommend_unseen(means, rated, 5).select("user_id", "item_id", "place")
 
 
 @add("rec6_residual_predictions")
@@ -165,7 +251,7 @@ def _(s, d):
     rated = R(s, d)
     _, held = split(s, d)
     content = O.content_pair_scores(rated, V.genres(s, d).where(f"genre in {_MAIN}"), held)
-    return O.hybrid_scores(content, O.knn_predictions(rated, O.item_neighbours(rated, 20, 3), held)).withColumn("score", F.round("score", 4))
+    return O.hybrid_scores(content, O.knn_predictions(rated, O.similarities(rated, 3), held)).withColumn("score", F.round("score", 4))
 
 
 @add("rec16_penalty_sweep")
@@ -223,9 +309,9 @@ def _(s, d):
     return folded.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("mu"), F.lit(2)))), 4).alias("rmse"))
 
 
-@add("met11_hold_out", f"SELECT {TEST} AS test, count(*) AS n FROM {RATINGS} GROUP BY 1")
+@add("met11_hold_out", f"SELECT user_id, item_id, {TEST} AS test FROM {RATINGS}")
 def _(s, d):
-    return R(s, d).groupBy(F.expr(TEST).alias("test")).agg(F.count("*").alias("n"))
+    return R(s, d).select("user_id", "item_id", F.expr(TEST).alias("test"))
 
 
 @add("clu1_standardised", f"WITH c AS (SELECT item_id, count(*) AS n, avg(rating) / 5 AS m FROM {RATINGS} GROUP BY 1) SELECT item_id, round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 4) AS n, round((m - avg(m) OVER ()) / stddev_pop(m) OVER (), 4) AS m FROM c")
@@ -234,6 +320,27 @@ def _(s, d):
     return C.standardised(c, ["n", "m"]).select("item_id", F.round("n", 4).alias("n"), F.round("m", 4).alias("m"))
 
 
+_GENRE_LIST = [g.strip(" '") for g in _MAIN.strip("()").split(",")]
+
+
+@add("clu1_features", f"""WITH c AS (SELECT item_id, count(*) AS n, avg(rating) / 5 AS m FROM {RATINGS} GROUP BY 1), g AS (SELECT DISTINCT item_id, genre FROM {GENRES}), names AS (SELECT unnest([{", ".join(repr(g) for g in _GENRE_LIST)}]) AS feature),
+    x AS (SELECT c.item_id, feature, CASE WHEN g.item_id IS NULL THEN 0.0 ELSE 1.0 END AS x FROM c CROSS JOIN names LEFT JOIN g ON g.item_id = c.item_id AND g.genre = feature UNION ALL SELECT item_id, 'popularity', (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ()) FROM c UNION ALL SELECT item_id, 'rating', m FROM c)
+    SELECT item_id, feature, round(CASE WHEN s > 0 THEN (x - a) / s ELSE 0 END, 4) AS value FROM (SELECT *, avg(x) OVER (PARTITION BY feature) AS a, stddev_pop(x) OVER (PARTITION BY feature) AS s FROM x)""")
+def _(s, d):
+    vectors = C.item_features(R(s, d), V.genres(s, d), _GENRE_LIST)
+    return vectors.select("item_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, [*_GENRE_LIST, "popularity", "rating"])), "features")).alias("feature", "value")).withColumn("value", F.round("value", 4))
+
+
+@add("clu2_sweep")
+def _(s, d):
+    return C.k_means_sweep(C.item_features(R(s, d), V.genres(s, d), _GENRE_LIST), "item_id", "features", [2, 3, 4, 5, 6, 8, 10, 12, 16, 20])
+
+
+@add("clu5_correlation_sweep")
+def _(s, d):
+    return C.pearson_sweep(table(s, d, "embeddings"), "vec_id", "embedding", [1, 2, 3, 4, 6, 8])
+
+
 @add("clu2_k_means")
 def _(s, d):
     return C.k_means(table(s, d, "embeddings"), "vec_id", "embedding", 10)[0]
@@ -259,6 +366,32 @@ def _(s, d):
     return C.round_robin(pool, "cluster", "item_id", 24)
 
 
+_CLUSTERS = f"(SELECT user_id, user_id % 7 AS cluster FROM {RATINGS} GROUP BY 1)"
+_ROBIN = "SELECT cluster, item_id FROM (SELECT cluster, item_id, row_number() OVER (PARTITION BY cluster ORDER BY (item_id * 40503) % 1000003, item_id) AS rn FROM (SELECT DISTINCT cluster, item_id FROM {pool})) ORDER BY rn, cluster LIMIT 24"
+_TOP5 = f"(SELECT cluster, item_id FROM (SELECT c.cluster, r.item_id, row_number() OVER (PARTITION BY r.user_id ORDER BY r.rating DESC, r.item_id) AS k FROM {RATINGS} r JOIN {_CLUSTERS} c USING (user_id)) WHERE k <= 5)"
+_TOP_GENRES = f"(SELECT c.cluster, g.item_id FROM (SELECT user_id, genre FROM (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY round(avg(rating), 6) DESC, genre) AS k FROM {RATINGS} JOIN {GENRES} USING (item_id) GROUP BY 1, 2) WHERE k <= 3) t JOIN {_CLUSTERS} c USING (user_id) JOIN {GENRES} g USING (genre))"
+
+
+def _user_clusters(s, d):
+    return R(s, d).select("user_id", (F.col("user_id") % 7).alias("cluster")).distinct()
+
+
+@add("smp1_top_rated", _ROBIN.format(pool=_TOP5))
+def _(s, d):
+    return C.round_robin(C.pool_of_top_rated(R(s, d), _user_clusters(s, d), 5), "cluster", "item_id", 24)
+
+
+@add("smp1_top_genres", _ROBIN.format(pool=_TOP_GENRES))
+def _(s, d):
+    return C.round_robin(C.pool_of_top_genres(R(s, d), V.genres(s, d), _user_clusters(s, d), 3), "cluster", "item_id", 24)
+
+
+@add("smp1_k_means_users")
+def _(s, d):
+    rated, tags = R(s, d), V.genres(s, d)
+    return C.round_robin(C.pool_of_top_rated(rated, C.user_clusters(rated, tags, _GENRE_LIST, 7), 5), "cluster", "item_id", 24)
+
+
 @add("smp2_of_top", f"SELECT item_id FROM (SELECT item_id, count(*) AS n FROM {RATINGS} GROUP BY 1 ORDER BY n DESC, item_id LIMIT 100) ORDER BY (item_id * 40503) % 1000003, item_id LIMIT 24")
 def _(s, d):
     return O.popular_items(R(s, d), 100).orderBy((F.col("item_id") * 40503) % 1000003, "item_id").limit(24)
@@ -274,10 +407,13 @@ def _(s, d):
     from marquee.operators.aggregates import genre_entropy
 
     rated = R(s, d)
-    methods = {"top": O.popular_items(rated, 24), "of_top": O.popular_items(rated, 100).orderBy((F.col("item_id") * 40503) % 1000003).limit(24)}
+    tags, clusters = V.genres(s, d), _user_clusters(s, d)
+    hashed = (F.col("item_id") * 40503) % 1000003
+    robin = lambda pool: C.round_robin(pool, "cluster", "item_id", 24).select("item_id").distinct()
+    methods = {"top": O.popular_items(rated, 24), "of_top": O.popular_items(rated, 100).orderBy(hashed, "item_id").limit(24), "clusters_rated": robin(C.pool_of_top_rated(rated, clusters, 5)), "clusters_genres": robin(C.pool_of_top_genres(rated, tags, clusters, 3))}
     out = None
     for name, sample in methods.items():
-        row = genre_entropy(V.genres(s, d).join(sample, "item_id", "left_semi")).crossJoin(E.list_precision(sample, rated, 24)).withColumn("method", F.lit(name))
+        row = genre_entropy(tags.join(sample, "item_id", "left_semi")).crossJoin(E.list_precision(sample, rated, 24)).withColumn("method", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out.select("method", r6("entropy").alias("entropy"), r6("normalised").alias("normalised"), r6("precision").alias("precision"))
 

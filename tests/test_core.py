@@ -364,7 +364,7 @@ def test_hybrid_scores_have_the_content_of_every_held_out_pair(spark):
     tags = V.genres(spark, d).where(f"genre in {Q._MAIN}")
     every = O.content_scores(rated, tags, tags.select("item_id").distinct())
     content = {(r.user_id, r.item_id): r.score for r in every.join(held, ["user_id", "item_id"], "left_semi").collect()}
-    near = {(r.user_id, r.item_id): r.est for r in O.knn_predictions(rated, O.item_neighbours(rated, 20, 3), held).collect()}
+    near = {(r.user_id, r.item_id): r.est for r in O.knn_predictions(rated, O.similarities(rated, 3), held).collect()}
     got = {(r.user_id, r.item_id): r.score for r in Q.QUERIES["rec14_hybrid_scores"](spark, d).collect()}
     assert got.keys() == near.keys() and all(v == pytest.approx(0.2 * content.get(k, 0) + 0.8 * near[k], abs=1e-4) for k, v in got.items())
     popular = {r.item_id for r in O.popular_items(rated, 50).collect()}
