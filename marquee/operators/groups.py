@@ -103,6 +103,29 @@ def validate_pairs(groups: DataFrame, pairs: DataFrame, low: float | None = None
     return both.where(bad).select("group_id").distinct()
 
 
+def validate_outliers(groups: DataFrame, pairs: DataFrame, ts: float, to: float) -> DataFrame:
+    """GRP8: groups of three that are no outlier groups: the most similar two of them below ts, or the third above `to` to either.
+
+    A pair without a similarity breaks the rule; ties for the most similar pair go to the smaller members.
+    """
+    m = groups.select("group_id", F.explode("members").alias("x"))
+    both = m.join(m.withColumnRenamed("x", "y"), "group_id").where("x < y").join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "sim"), ["x", "y"], "left")
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc_nulls_last("sim"), "x", "y"))
+    bad = F.col("sim").isNull() | F.when(F.col("i") == 1, F.col("sim") < ts).otherwise(F.col("sim") > to)
+    return both.withColumn("i", place).where(bad).select("group_id").distinct()
+
+
+def validate_members(groups: DataFrame, rated: DataFrame, least: int) -> DataFrame:
+    """GRP8: groups with a repeated member, a member with fewer than `least` ratings, or the members of an earlier group."""
+    counts = rated.groupBy("user_id").agg(F.count("*").alias("n"))
+    m = groups.select("group_id", F.explode("members").alias("user_id")).join(counts, "user_id", "left")
+    few = m.where(F.coalesce("n", F.lit(0)) < least).select("group_id")
+    repeated = groups.where(F.size(F.array_distinct("members")) < F.size("members")).select("group_id")
+    keyed = groups.select("group_id", F.array_sort("members").alias("k"))
+    later = keyed.join(keyed.groupBy("k").agg(F.min("group_id").alias("first")), "k").where("group_id > first").select("group_id")
+    return few.unionByName(repeated).unionByName(later).distinct()
+
+
 def disjoint_groups(groups: DataFrame) -> DataFrame:
     """SET5: in order of group ids, groups that share no member with one taken before.
 

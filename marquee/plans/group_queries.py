@@ -74,10 +74,42 @@ def _(s, d):
     return G.split_groups(V.groups(V.ratings(s, d)))
 
 
-@add("grp8_invalid_groups", f"SELECT group_id FROM ({_triangle_sql(SIM)}) WHERE false")
+# Groups that mostly break the rules: three vectors with ids in a row.
+_TRIPLES = "(SELECT vec_id // 3 AS group_id, list(vec_id ORDER BY vec_id) AS members FROM embeddings GROUP BY 1 HAVING count(*) = 3)"
+_TRIPLE_SIMS = f"(SELECT x.group_id, x.m AS a, y.m AS b, round(c.sim, 6) AS sim FROM (SELECT group_id, unnest(members) AS m FROM {_TRIPLES}) x JOIN (SELECT group_id, unnest(members) AS m FROM {_TRIPLES}) y ON x.group_id = y.group_id AND x.m < y.m LEFT JOIN {_COS} c ON c.a = x.m AND c.b = y.m)"
+
+
+def triples(s, d):
+    listed = table(s, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 3).alias("group_id")).agg(F.array_sort(F.collect_list("vec_id")).alias("members"))
+    return listed.where(F.size("members") == 3)
+
+
+@add("grp8_invalid_groups", f"""WITH s AS MATERIALIZED {_TRIPLE_SIMS} SELECT DISTINCT 'similar' AS rule, group_id FROM s WHERE sim IS NULL OR sim < 0.05 UNION ALL SELECT DISTINCT 'divergent', group_id FROM s WHERE sim IS NULL OR sim > 0.05
+    UNION ALL SELECT DISTINCT 'outlier', group_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sim DESC NULLS LAST, a, b) AS i FROM s) WHERE sim IS NULL OR (i = 1 AND sim < 0.05) OR (i > 1 AND sim > 0.05)""")
+def _(s, d):
+    p, g = pairs(s, d), triples(s, d)
+    found = {"similar": G.validate_pairs(g, p, low=0.05), "divergent": G.validate_pairs(g, p, high=0.05), "outlier": G.validate_outliers(g, p, 0.05, 0.05)}
+    rows = [f.select(F.lit(k).alias("rule"), "group_id") for k, f in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@add("grp8_invalid_members", f"""WITH n AS (SELECT user_id, count(*) AS n FROM {RATINGS} GROUP BY 1), g AS (SELECT group_id, members FROM {GROUPS} UNION ALL SELECT group_id + 1000000, CASE WHEN group_id % 2 = 0 THEN [members[1], members[1], members[2]] ELSE list_reverse(members) END FROM {GROUPS} WHERE group_id % 5 = 0)
+    SELECT DISTINCT group_id FROM (SELECT group_id FROM (SELECT group_id, unnest(members) AS user_id FROM g) LEFT JOIN n USING (user_id) WHERE coalesce(n.n, 0) < 5 UNION ALL SELECT group_id FROM g WHERE len(list_distinct(members)) < len(members)
+    UNION ALL SELECT a.group_id FROM g a JOIN g b ON list_sort(a.members) = list_sort(b.members) AND b.group_id < a.group_id)""")
 def _(s, d):
-    p = pairs(s, d)
-    return G.validate_pairs(G.similar_groups(p, TS), p, low=TS)
+    rated = V.ratings(s, d)
+    groups = V.groups(rated)
+    m = F.col("members")
+    planted = groups.where("group_id % 5 = 0").select((F.col("group_id") + 1000000).alias("group_id"), F.when(F.col("group_id") % 2 == 0, F.array(m[0], m[0], m[1])).otherwise(F.reverse(m)).alias("members"))
+    return G.validate_members(groups.unionByName(planted), rated, 5)
+
+
+@add("set4_common_items", f"WITH r AS MATERIALIZED (SELECT user_id, item_id FROM {RATINGS}), g AS {GROUPS} SELECT g.group_id, a.item_id FROM g JOIN r a ON a.user_id = members[1] JOIN r b ON b.user_id = members[2] AND b.item_id = a.item_id JOIN r c ON c.user_id = members[3] AND c.item_id = a.item_id")
+def _(s, d):
+    from marquee.operators.matrix import common_items
+
+    rated = V.ratings(s, d)
+    return common_items(V.groups(rated), rated)
 
 
 @add("set5_disjoint_groups")

@@ -150,6 +150,18 @@ def _(s, d):
     return V.items(s, d).withColumn("h", hot).select("item_id", F.col("h")[0].cast("int").alias("serious"), F.col("h")[1].cast("int").alias("light"))
 
 
+_KINDS = [k for kinds in S.PLACE_GROUPS.values() for k in kinds]
+_KIND_SQL = "[" + ", ".join(repr(k) for k in _KINDS) + "]"
+
+
+@add("mth8_place_groups", "SELECT l_suppkey, l_partkey, " + ", ".join(f"CAST(list_has_any(types, {members!r}) AS INTEGER) AS {name}" for name, members in S.PLACE_GROUPS.items()) + f" FROM (SELECT DISTINCT l_suppkey, l_partkey, [({_KIND_SQL})[l_suppkey % {len(_KINDS)} + 1], ({_KIND_SQL})[l_partkey % {len(_KINDS)} + 1], 'unheard_of'] AS types FROM lineitem)")
+def _(s, d):
+    kind = lambda c: F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod(F.col(c), F.lit(len(_KINDS))) + 1).cast("int"))
+    pairs = table(s, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    hot = pairs.withColumn("h", S.multi_hot(F.array(kind("l_suppkey"), kind("l_partkey"), F.lit("unheard_of")), S.PLACE_GROUPS))
+    return hot.select("l_suppkey", "l_partkey", *[F.col("h")[i].cast("int").alias(name) for i, name in enumerate(S.PLACE_GROUPS)])
+
+
 @add("mth9_vote_stars", f"SELECT user_id, item_id, CASE WHEN rating >= 3.5 THEN 5.0 WHEN rating <= 2.5 THEN 1.0 ELSE 3.0 END::DOUBLE AS stars FROM {RATINGS}")
 def _(s, d):
     vote = F.when(F.col("rating") >= 3.5, 1).when(F.col("rating") <= 2.5, -1).otherwise(0)

@@ -135,6 +135,39 @@ def _(s, d):
     return s.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, text string")
 
 
+@add("snk6_latex_multihead")
+def _(s, d):
+    """Means by algorithm and bias under spanning heads, the least of every column bold."""
+    from marquee.operators.reports import mean_by
+
+    cells = mean_by(V.facts(s, d).withColumn("b", F.concat(F.lit("b"), (F.col("bias") * 10).cast("int").cast("string"))), ["algorithm", "b"])
+    wide = cells.groupBy("algorithm").pivot("b", ["b0", "b5", "b10", "b20", "b30"]).agg(F.first("mean")).orderBy("algorithm")
+    text = K.latex_table(wide, "By bias", K.best_of(wide, ["b0", "b5", "b10", "b20", "b30"]), heads=[("", 1), ("lenient", 2), ("strict", 3)])
+    return s.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, text string")
+
+
+@add("snk8_profile_log", "SELECT stage, n FROM (VALUES ('session.start', 1), ('read', 1), ('write', 2)) t(stage, n)")
+def _(s, d):
+    log = K.ProfileLog(s, scratch(s, "profile"), "run", purpose="query")
+    with log.timed("read", table="movies"):
+        table(s, d, "movies").schema
+    for _ in range(2):
+        with log.timed("write"):
+            pass
+    return s.read.schema("ts string, stage string, duration_s double, extra string").json(log.write()).groupBy("stage").agg(F.count("*").cast("int").alias("n"))
+
+
+@add("prj5_metric_fallback", f"SELECT userId AS user_id, movieId AS item_id, timestamp AS ts, round(coalesce(CASE WHEN isnan(rating) THEN NULL ELSE rating END, m.mean, (SELECT avg(rating) FROM {RATINGS})), 6) AS value FROM ratings LEFT JOIN (SELECT item_id, avg(rating) AS mean FROM {RATINGS} GROUP BY 1) m ON m.item_id = movieId")
+def _(s, d):
+    """A value read directly, else from the item, else from the whole; NaN counts as missing."""
+    rated = V.ratings(s, d)
+    means = rated.groupBy("item_id").agg(F.avg("rating").alias("mean"))
+    whole = rated.agg(F.avg("rating").alias("whole"))
+    raw = table(s, d, "ratings").select(F.col("userId").alias("user_id"), F.col("movieId").alias("item_id"), F.col("timestamp").alias("ts"), "rating")
+    value = F.coalesce(F.when(~F.isnan("rating"), F.col("rating")), "mean", "whole")
+    return raw.join(means, "item_id", "left").crossJoin(F.broadcast(whole)).select("user_id", "item_id", "ts", F.round(value, 6).alias("value"))
+
+
 @add("snk9_count_percent", f"WITH b AS (SELECT least(n, 20) AS k, count(*) AS n FROM (SELECT user, count(*) AS n FROM {REVIEWS} GROUP BY 1) GROUP BY 1) SELECT k, n FROM b")
 def _(s, d):
     from marquee.operators.aggregates import overflow_histogram

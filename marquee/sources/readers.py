@@ -31,9 +31,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """SRC1, SRC6, SRC7: a typed CSV scan; only the chosen columns are parsed."""
+    """SRC1, SRC6, SRC7: a typed CSV scan; only the chosen columns are parsed. A number written as NaN is no value: null."""
     df = spark.read.schema(schema).csv(path, header=True, encoding=encoding, escape='"')
-    return df.select(*columns) if columns else df
+    kinds = dict(df.dtypes)
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in columns or df.columns])
 
 
 def load_ratings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,11 @@ The store is a directory of Parquet runs (run=N). Rows are keyed in full, so an
 
 from __future__ import annotations
 
+import datetime
+import json
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +70,41 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """SNK8, SNK11: JSON lines."""
+    """SNK11: JSON lines."""
     df.write.mode("overwrite").json(path)
 
 
+class ProfileLog:
+    """SNK8: a session's profile log: stages with their durations and whatever else is said of them, as JSON lines.
+
+    Events are few (stages, not rows) and are gathered on the driver; write() puts them below the given folder, one file a
+    session. A log that is not enabled takes no notice of anything.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, enabled: bool = True, **facts):
+        self.spark, self.path, self.enabled, self.rows = spark, f"{folder}/{name}", enabled, []
+        self.event("session.start", **facts)
+
+    def event(self, stage: str, duration: float | None = None, **facts) -> None:
+        if self.enabled:
+            at = datetime.datetime.now(datetime.timezone.utc).isoformat()
+            self.rows.append((at, stage, None if duration is None else round(float(duration), 6), json.dumps(facts, sort_keys=True, default=str) if facts else None))
+
+    @contextmanager
+    def timed(self, stage: str, **facts):
+        start = time.perf_counter()
+        try:
+            yield self
+        finally:
+            self.event(stage, time.perf_counter() - start, **facts)
+
+    def write(self) -> str:
+        if self.enabled:
+            self.spark.createDataFrame(self.rows, "ts string, stage string, duration_s double, extra string").coalesce(1).write.mode("append").json(self.path)
+            self.rows = []
+        return self.path
+
+
 def without(df: DataFrame, *columns: str) -> DataFrame:
     """SNK10: heavy columns left out before storing."""
     return df.drop(*columns)
@@ -84,6 +119,12 @@ def escape_latex(text: str) -> str:
     return "".join(LATEX.get(c, c) for c in text)
 
 
+def best_of(df: DataFrame, columns: list[str], least: bool = True) -> Callable[[dict, str], bool]:
+    """SNK6: which cells of a report table are the best of their column, as latex_table's bold; computed once."""
+    best = df.agg(*[(F.min if least else F.max)(c).alias(c) for c in columns]).first().asDict()
+    return lambda row, c: c in best and row[c] == best[c]
+
+
 def latex_table(df: DataFrame, caption: str = "", bold: Callable[[dict, str], bool] | None = None, missing: str = "--", digits: int = 2, heads: list[tuple[str, int]] | None = None, most: int = 500) -> str:
     """SNK6: a report table as LaTeX; heads adds a row of spanning heads. Reports are small: more than `most` rows raise."""
     rows = df.limit(most + 1).collect()
