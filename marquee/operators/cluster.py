@@ -32,6 +32,11 @@ def k_means(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> tup
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if k == 1:  # one centre, the mean
+        v = F.col(vector).cast("array<double>")
+        centre = _centroids(df.select(F.lit(0).alias("cluster"), v.alias("v"), F.lit(1.0).alias("w")), 1, "w")
+        cost = df.select(v.alias("v")).agg(F.sum(_distances(centre)[0])).first()[0]
+        return df.select(key, F.lit(0).alias("cluster")), float(cost or 0.0)
     data = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(data)
     return model.transform(data).select(key, F.col("prediction").alias("cluster")), model.summary.trainingCost
