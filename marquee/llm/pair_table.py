@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.similar_sets import mix64
-from marquee.operators.skew import clustered
+from marquee.operators.skew import clustered, partitions_for
 from marquee.session import scratch, ship, written
 
 #: Kinds of the state's rows: pair counts (a, b, n); item counts (item, null, n); number of baskets (0, null, n); rows of
@@ -312,7 +312,8 @@ class PairTable:
                 manifest = manifest.unionByName(before.join(touched, ["kind", "bucket"], "left_anti"))
             manifest.write.mode("overwrite").parquet(f"{self.path}/manifest/v{number}")
             deltas = deltas.unionByName(self.state().join(F.broadcast(touched), ["kind", "bucket"], "left_semi"))
-        merged = deltas.groupBy("kind", "bucket").applyInArrow(_merge, _STATE)
+        tasks = partitions_for(deltas, self.layout.buckets, 8)
+        merged = deltas.repartition(tasks, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_merge, _STATE)
         merged.write.mode("overwrite").partitionBy("kind").option("compression", "uncompressed").parquet(f"{self.path}/state/version={number}")
         self.version = f"v{number}"
 
