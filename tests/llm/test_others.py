@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.llm.frequency import marked, term_frequencies
-from marquee.llm.matching import assigned, best_assignment, components, match_entities, maximal, variants
+from marquee.llm.matching import assigned, best_assignment, components, improved, match_entities, maximal, variants
 from marquee.llm.mixing import mix, plan_budgets, text_quality
 from marquee.llm.topn import top_items
 
@@ -142,7 +142,7 @@ def test_large_components_in_bounded_passes(spark, kind):
         edges = [(a, b, round(0.5 + rng.random() / 2, 3)) for a, b in sorted({(rng.randrange(80), rng.randrange(80)) for _ in range(500)})]
     df = spark.createDataFrame(edges, "l bigint, r bigint, confidence double")
     exact = sum(edges[i][2] for i in best_assignment(edges))
-    got = assigned(df, task_edges=100).collect()
+    got = (assigned(df, task_edges=100) if kind == "random" else improved(df, 100, passes=8, calm=2)).collect()
     assert one_to_one(got) and {(x.l, x.r, x.confidence) for x in got} <= set(edges)
     # Regions of a fifth of a graph without neighbourhoods reach less than those of a chain.
     assert sum(x.confidence for x in got) >= (0.975 if kind == "random" else 0.99) * exact
