@@ -2,7 +2,7 @@
 
 A payload is a block of doubles in row order. The inverse is computed in place by sweeps over block columns; the only data
 that reaches the driver and is sent to all tasks is one panel of block columns, whose width is chosen so that it stays within
-PANEL_BYTES, and the pivot block inside it.
+PANEL_BYTES; every task inverts the pivot block inside it.
 """
 
 from __future__ import annotations
@@ -26,20 +26,16 @@ _BLOCKS = "bi int, bj int, payload binary"
 
 
 def spd_inverse(matrix: np.ndarray) -> np.ndarray:
-    """Inverse of a symmetric positive definite matrix by Gauss-Jordan sweeps of elementwise updates.
+    """Inverse of a symmetric positive definite matrix; called in tasks only.
 
-    It keeps clear of the threads of a linear algebra library, which may wait for ever in a process that has forked.
+    On the driver, a process that has forked, a threaded linear algebra call was seen to wait for ever.
     """
-    a = matrix.astype(float).copy()
-    step = np.empty_like(a)
-    for k in range(len(a)):
-        pivot = a[k, k]
-        if pivot <= 0:
-            raise ValueError("the matrix is not positive definite")
-        row, col = a[k] / pivot, a[:, k].copy()
-        a -= np.multiply(col[:, None], row[None, :], out=step)
-        a[k], a[:, k], a[k, k] = row, -col / pivot, 1 / pivot
-    return a
+    try:
+        np.linalg.cholesky(matrix)
+    except np.linalg.LinAlgError:
+        raise ValueError("the matrix is not positive definite") from None
+    inverse = np.linalg.inv(matrix)
+    return (inverse + inverse.T) / 2
 
 
 def block_width(n: int) -> int:
@@ -135,12 +131,13 @@ class BlockMatrix:
                 other, block = (i, block) if j == k else (j, block.T)
                 panel[other * self.width : other * self.width + len(block)] = block
             at = slice(k * self.width, k * self.width + self.rows_of(k))
-            pivot = spd_inverse(panel[at] + (add if k == 0 else 0.0) * np.eye(self.rows_of(k)))
-            sent = spark.sparkContext.broadcast((panel, pivot))
+            sent = spark.sparkContext.broadcast(panel)
             fresh = k == 0
 
-            def sweep(batches: Iterator[pa.RecordBatch], k=k, sent=sent, fresh=fresh) -> Iterator[pa.RecordBatch]:
-                panel, p = sent.value
+            def sweep(batches: Iterator[pa.RecordBatch], k=k, at=at, sent=sent, fresh=fresh) -> Iterator[pa.RecordBatch]:
+                panel = sent.value
+                mine = panel[at]
+                p = spd_inverse(mine + (add if fresh else 0.0) * np.eye(len(mine)))  # every task works out the same one
                 part = lambda b: panel[b * shape.width : b * shape.width + shape.rows_of(b)]
                 for batch in batches:
                     out = []
