@@ -5,10 +5,9 @@ title without its last subtitle) and each entry is sorted by several composite k
 from its end, longest word); one range-partitioned sort serves all keys. Entries within a sliding window of each other are
 compared: a weighted sum of title, year and hint similarities gives the confidence. Of the pairs above the least confidence
 a one-to-one assignment of greatest total confidence is taken: pairs without rivals stand; the rest falls into connected
-components, each solved exactly by shortest augmenting paths. A component larger than a task should take gets a maximal
-matching first, which a bounded number of passes improve: each pass cuts the component into other regions of neighbours and
-solves every region exactly; no chosen pair crosses a border, so the total only grows. The result is one-to-one and best
-within every region of the last passes.
+components, each solved exactly by shortest augmenting paths with prices, whatever its size; the task that holds a component
+holds all its edges. (improved() is an approximation in bounded passes for callers whose components fit no task; nothing
+here takes it on its own.)
 
 Defined cases: rows with a null id or title on a side give no record of that side; repeated rows count once; a null or
 partial date gives no year or its year; several titles of one id are all tried; equal confidences are settled by ids; empty
@@ -19,7 +18,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,6 @@ from marquee.session import ship, written
 
 #: Positions of a sort order within which entries are compared.
 WINDOW = 12
-#: Edges that one task solves exactly; larger components are solved region by region.
-TASK_EDGES = 20_000
 #: Passes over the regions of large components: at most so many, and no more after so many without gain.
 PASSES, CALM = 24, 4
 #: Weights of the fields and the least confidence of a match.
@@ -142,58 +141,79 @@ def compared(near: DataFrame, hints: DataFrame) -> DataFrame:
     return with_hint.select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), confidence.alias("confidence")).where(F.col("confidence") >= LEAST)
 
 
+#: Weights are compared as whole numbers of this many a unit; confidences have six digits.
+UNITS = 10**9
+
+
 def best_assignment(edges: list[tuple[int, int, float]]) -> list[int]:
-    """Numbers of the edges of a one-to-one assignment of greatest total weight (weights positive); exact.
+    """Numbers of the edges of a one-to-one assignment of greatest total weight (weights positive); exact to nine digits."""
+    lefts, rights, weights = zip(*edges) if edges else ((), (), ())
+    return best_of(np.array(lefts, np.int64), np.array(rights, np.int64), np.array(weights, np.float64)).tolist()
+
 
-    Each left node in turn is brought in by the shortest augmenting path (Bellman-Ford on the alternating graph), stopping
-    as soon as staying out is better.
+def best_of(lefts: np.ndarray, rights: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """best_assignment of columns.
+
+    Each left node in turn is brought in by the shortest augmenting path. Nodes have prices: those of the two ends of an
+    edge add up to its weight at least, and just to it on a chosen one; a node without partner has price 0. So what a step
+    costs is never negative, a path is searched no further than the cheapest way to end it (at a free right node, or at
+    a left node that is better left out), and the prices prove the result the best. Memory grows with the edges.
     """
-    by_left: dict[int, list[int]] = {}
-    for e, (a, _, _) in enumerate(edges):
-        by_left.setdefault(a, []).append(e)
-    of_right: dict[int, int] = {}
-    of_left: dict[int, int] = {}
-    for root in sorted(by_left):
-        gain = {root: 0.0}  # by left node: the best change of the total when it is left without partner
-        came: dict[int, tuple[int, int]] = {}  # by left node: the edge that took its partner, and that edge's left node
-        queue, best, last = [root], 1e-9, None
-        while queue:
-            a = queue.pop(0)
-            for e in by_left[a]:
-                if of_left.get(a) == e:
+    left, l = np.unique(lefts, return_inverse=True)
+    right, r = np.unique(rights, return_inverse=True)
+    order = np.lexsort((r, l))
+    begin = np.searchsorted(l[order], np.arange(len(left) + 1)).tolist()
+    to, weight = array("q", r[order].astype(np.int64).tobytes()), array("q", np.rint(weights[order] * UNITS).astype(np.int64).tobytes())
+    of_left, of_right = [-1] * len(left), [-1] * len(right)  # an edge, by its place in the order
+    owner = array("q", l[order].astype(np.int64).tobytes())
+    y, z = [0] * len(left), [0] * len(right)
+    for root in range(len(left)):
+        y[root] = max(0, max(weight[e] - z[to[e]] for e in range(begin[root], begin[root + 1])))
+        cost, came, reached = {root: 0}, {}, {}  # came: by left, the edge that takes its partner; reached: cost by right
+        heap, done = [(0, root)], set()
+        best, last = y[root], (-1, root)  # stay out
+        while heap and heap[0][0] < best:
+            at, a = heappop(heap)
+            if a in done:
+                continue
+            done.add(a)
+            for e in range(begin[a], begin[a + 1]):
+                b = to[e]
+                d = at + y[a] + z[b] - weight[e]
+                if d > best or d >= reached.get(b, d + 1):
                     continue
-                r, value = edges[e][1], gain[a] + edges[e][2]
-                held = of_right.get(r)
-                if held is None:
-                    if value > best + 1e-9:
-                        best, last = value, (e, a, None)
-                else:
-                    b, value = edges[held][0], value - edges[held][2]
-                    if b != root and value > gain.get(b, -1e18) + 1e-9:
-                        gain[b], came[b] = value, (e, a)
-                        queue.append(b)
-        # A left node may also end up without partner for the good of the others.
-        for b, value in gain.items():
-            if b != root and value > best + 1e-9:
-                best, last = value, (None, None, b)
-        if last is None:
-            continue
-        e, a, out = last
-        path = []
-        if e is not None:
-            path.append((e, a))
-        else:
-            path.append(came[out])
-            a = came[out][1]
-            of_left.pop(out)
-        while a != root:
-            path.append(came[a])
-            a = came[a][1]
-        for e, a in path:
-            of_left[a] = e
-        for e, _ in path:
-            of_right[edges[e][1]] = e
-    return sorted(of_left.values())
+                held = of_right[b]
+                if held < 0:
+                    if d < best or last[0] < 0:
+                        best, last = d, (e, a)
+                elif held != e and d < best:
+                    reached[b] = d
+                    other = owner[held]
+                    cost[other], came[other] = d, e
+                    heappush(heap, (d, other))
+                    if d + y[other] < best:
+                        best, last = d + y[other], (-1, other)
+        for a, d in cost.items():
+            if d < best:
+                y[a] -= best - d
+        for b, d in reached.items():
+            if d < best:
+                z[b] += best - d
+        e, a = last
+        if e < 0:  # `a` gives up its partner
+            if a == root:
+                continue
+            of_left[a], e = -1, came[a]
+            a = owner[e]
+        while True:
+            left_behind = of_left[a]
+            of_left[a], of_right[to[e]] = e, e
+            if a == root:
+                break
+            e = came[a]
+            assert to[left_behind] == to[e]
+            a = owner[e]
+    return np.sort(order[[e for e in of_left if e >= 0]])
 
 
 def _least(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -242,9 +262,8 @@ def maximal(edges: DataFrame) -> DataFrame:
 
 def _solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """The best assignment of the edges of one component or region."""
-    table = table.sort_by([("l", "ascending"), ("r", "ascending")])
-    edges = list(zip(*(table[c].to_pylist() for c in ("l", "r", "confidence"))))
-    return table.take(best_assignment(edges)).select(["l", "r", "confidence"])
+    table = table.sort_by([("l", "ascending"), ("r", "ascending")]).select(["l", "r", "confidence"])
+    return table.take(pa.array(best_of(*(np.asarray(table[c].combine_chunks()) for c in ("l", "r", "confidence")))))
 
 
 def regions(edges: DataFrame, chosen: DataFrame, number: int, task_edges: int) -> DataFrame:
@@ -284,16 +303,22 @@ def improved(edges: DataFrame, task_edges: int, passes: int = PASSES, calm: int
     return now
 
 
-def assigned(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
-    """The one-to-one assignment of greatest total confidence among (l, r, confidence)."""
+def assigned(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
+    """The one-to-one assignment of greatest total confidence among (l, r, confidence).
+
+    Every component is solved exactly, whatever its size, by the task that holds it. Only a caller who names task_edges gets
+    something less: components of more edges are then improved region by region.
+    """
     edges = written(edges, "edges")
     degree_l, degree_r = edges.groupBy("l").agg(F.count("*").alias("dl")), edges.groupBy("r").agg(F.count("*").alias("dr"))
     counted = edges.join(degree_l, "l").join(degree_r, "r")
     alone = counted.where("dl = 1 and dr = 1").select("l", "r", "confidence")
     rivals = written(components(written(counted.where("dl > 1 or dr > 1").select("l", "r", "confidence"), "rivals")), "components")
+    solved = lambda d: d.groupBy("component").applyInArrow(_solve, "l bigint, r bigint, confidence double")
+    if task_edges is None:
+        return alone.unionByName(solved(rivals))
     sized = rivals.join(rivals.groupBy("component").agg(F.count("*").alias("size")), "component")
-    small = sized.where(F.col("size") <= task_edges).select("component", "l", "r", "confidence")
-    result = alone.unionByName(small.groupBy("component").applyInArrow(_solve, "l bigint, r bigint, confidence double"))
+    result = alone.unionByName(solved(sized.where(F.col("size") <= task_edges).select("component", "l", "r", "confidence")))
     large = sized.where(F.col("size") > task_edges).select("l", "r", "confidence")
     if large.limit(1).count():
         result = result.unionByName(improved(written(large, "large"), task_edges))

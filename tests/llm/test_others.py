@@ -157,3 +157,13 @@ def test_components(spark):
     edges = [(i, i, 1.0) for i in range(200)] + [(i + 1, i, 1.0) for i in range(199) if i != 120] + [(900, 500, 1.0)]
     rows = components(spark.createDataFrame(edges, "l bigint, r bigint, confidence double").repartition(3)).collect()
     assert len(rows) == len(edges) and all(r.component == (900 if r.l == 900 else 0 if r.l <= 120 else 121) for r in rows)
+
+
+def test_large_components_are_solved_exactly(spark):
+    """More edges than the 20,000 beyond which components were once approximated; both orders of the rows give the same."""
+    rng = random.Random(7)
+    edges = [(a, b, round(0.74 + 0.26 * rng.random(), 6)) for a, b in sorted({(rng.randrange(6000), rng.randrange(6000)) for _ in range(24_000)})]
+    df = spark.createDataFrame(edges, "l bigint, r bigint, confidence double")
+    exact = sum(edges[i][2] for i in best_assignment(edges))
+    got, again = assigned(df).collect(), assigned(df.repartition(5)).collect()
+    assert one_to_one(got) and set(got) == set(again) and sum(x.confidence for x in got) == pytest.approx(exact, abs=1e-6)
