@@ -90,6 +90,19 @@ def test_split_packed(spark):
     assert split_packed(df.limit(0), "id", "genres").count() == 0
 
 
+def test_fields_without_guard_need_no_dictionary(spark, monkeypatch):
+    """Nothing is learned or looked up that could not change the result."""
+    from marquee.operators import packed_fields
+
+    def fail(*args):
+        raise AssertionError("a dictionary has no effect here")
+
+    monkeypatch.setattr(packed_fields, "learn_dictionary", fail)
+    monkeypatch.setattr(packed_fields, "relevant", fail)
+    df = spark.createDataFrame([(1, 'War|Home Front|"War|Home Front"'), (1, 'War / Home Front / "War|Home Front"'), (2, None)], "id bigint, genres string")
+    assert {tuple(r) for r in split_packed(df, "id", "genres").collect()} == {(1, 1, "War"), (1, 2, "Home Front"), (1, 3, "War|Home Front")}
+
+
 # Heavy keys and layout
 
 
