@@ -34,6 +34,8 @@ from marquee.session import ship, written
 BITS = 128
 #: Records a segment group is expected to hold, and records of one cell (a task's share of one index).
 GROUP, CELL = 512, 200_000
+#: Segments whose cells lie on disk at once (about 18 bytes a record and segment).
+AT_ONCE = 24
 #: Records looked at to find crowded cells; the sample decides only where rows are compared.
 LOOKED_AT = 200_000
 _U = np.uint64
@@ -243,6 +245,11 @@ def cell_pairs(segment: int, plan: Plan, ids, sizes, c1, c2, numerator: int, den
         d += 1
 
 
+def top_bits(records: int, plan: Plan) -> int:
+    """Leading bits of a segment's value that name its cell."""
+    return min(max(0, math.ceil(math.log2(max(records, 1) / CELL))), len(plan.bits[0]))
+
+
 def crowded(representatives: DataFrame, plan: Plan, top: int, records: int) -> dict[int, int]:
     """Parts of the cells that a sample says hold more than 4 * CELL records: groups of near-duplicates. Layout only."""
     if records <= 4 * CELL:
@@ -258,23 +265,23 @@ def crowded(representatives: DataFrame, plan: Plan, top: int, records: int) -> d
     return out
 
 
-def candidates(representatives: DataFrame, plan: Plan, numerator: int, denominator: int, records: int, parts: dict[int, int] | None = None) -> DataFrame:
+def candidates(representatives: DataFrame, plan: Plan, numerator: int, denominator: int, records: int, parts: dict[int, int] | None = None, segments: range | None = None) -> DataFrame:
     """(a, b, size_a, size_b) with a < b: pairs within the radius that share a segment, each once.
 
+    segments: only pairs whose first shared segment is one of these.
     A cell is compared in one task; a crowded one is cut into parts by a hash of its records, and every two parts meet in a
     task of their own.
     """
-    top = max(0, math.ceil(math.log2(max(records, 1) / CELL)))
-    width = len(plan.bits[0])
-    top = min(top, width)
+    width, top = len(plan.bits[0]), top_bits(records, plan)
     cut = crowded(representatives, plan, top, records) if parts is None else parts
+    chosen = range(len(plan.bits)) if segments is None else segments
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
             ids, sizes, c1, c2 = (np.concatenate(c) for c in zip(*held))
             c1, c2 = c1.view(np.uint64), c2.view(np.uint64)
-            for s, bits in enumerate(plan.bits):
-                at = segment_values(c1, c2, bits) >> np.uint32(width - top)
+            for s in chosen:
+                at = segment_values(c1, c2, plan.bits[s]) >> np.uint32(width - top)
                 cells, pairs, payloads = [], [], []
                 for v in np.unique(at):
                     cell, rows = (s << 24) + int(v), np.flatnonzero(at == v)
@@ -317,10 +324,22 @@ def candidates(representatives: DataFrame, plan: Plan, numerator: int, denominat
         return pa.table({"a": ids[i].astype(np.int64), "b": ids[j].astype(np.int64), "size_a": sizes[i].astype(np.int64), "size_b": sizes[j].astype(np.int64)})
 
     cells = representatives.select("r", "size", "c1", "c2").mapInArrow(spread, "cell bigint, pair bigint, payload binary")
-    tasks = partitions_for(representatives, records * len(plan.bits), 2_000_000)
+    tasks = partitions_for(representatives, records * len(chosen), 2_000_000)
     return cells.repartition(tasks, "cell", "pair").groupBy("cell", "pair").applyInArrow(compare, "a bigint, b bigint, size_a bigint, size_b bigint")
 
 
+def near_pairs(representatives: DataFrame, plan: Plan, numerator: int, denominator: int, records: int, at_once: int = AT_ONCE) -> DataFrame:
+    """candidates() of all segments, written to the shared folder. `at_once` segments go through a shuffle at a time, whose
+    files are then deleted: their number grows with the records, the disk a record takes doesn't."""
+    cut = crowded(representatives, plan, top_bits(records, plan), records)
+    out = None
+    for first in range(0, len(plan.bits), at_once):
+        some = range(first, min(first + at_once, len(plan.bits)))
+        near = written(candidates(representatives, plan, numerator, denominator, records, cut, some), "near")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def similar_sets(df: DataFrame, record: str, item: str, *, numerator: int = 7, denominator: int = 10, least: int = 8, recall: float = 0.998) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives (a, b, common, size_a, size_b) with common / united >= numerator / denominator,
     and membership (record, class_id): records with equal sets share a class, whose id is its least record."""
@@ -329,7 +348,7 @@ def similar_sets(df: DataFrame, record: str, item: str, *, numerator: int = 7, d
     representatives = written(classes, "classes")
     records = representatives.count()
     members = signed.join(representatives.select("h1", "h2", "size", F.col("r").alias("class_id")), ["h1", "h2", "size"]).select(F.col("r").alias(record), "class_id")
-    near = written(candidates(representatives, calibrate(records, numerator / denominator, recall), numerator, denominator, records), "near")
+    near = near_pairs(representatives, calibrate(records, numerator / denominator, recall), numerator, denominator, records)
     # The original sets decide.
     involved = near.select(F.col("a").alias("r")).union(near.select("b")).distinct()
     rows = df.select(F.col(record).cast("bigint").alias("r"), F.col(item).cast("bigint").alias("x")).where("x is not null").join(involved, "r", "left_semi").distinct()

@@ -42,6 +42,19 @@ def test_crowded_cells_lose_no_pair(spark):
     assert found[0] == found[1] and len(found[0]) > 5000
 
 
+def test_segments_go_through_shuffles_in_turn(spark, monkeypatch):
+    """At most so many segments lie on disk at once, however many there are; all rounds together find what one finds."""
+    rng = random.Random(4)
+    core = set(range(30))
+    sets = {u: core - set(rng.sample(range(30), 3)) | {100 + rng.randrange(40)} for u in range(80)}
+    signed = S.signatures(frame(spark, sets), "user", "item")
+    plan = S.calibrate(80, 0.7, 0.99)
+    want, whole, asked = sorted(map(tuple, S.candidates(signed, plan, 7, 10, 80).collect())), S.candidates, []
+    monkeypatch.setattr(S, "candidates", lambda *args: asked.append(args[-1]) or whole(*args))
+    assert sorted(map(tuple, S.near_pairs(signed, plan, 7, 10, 80, 3).collect())) == want and len(want) > 1000
+    assert [s for part in asked for s in part] == list(range(len(plan.bits))) and max(map(len, asked)) == 3
+
+
 def test_empty(spark):
     pairs, members = S.similar_sets(frame(spark, {}), "user", "item")
     assert S.expand(pairs, members, "user").count() == 0
