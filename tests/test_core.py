@@ -469,3 +469,26 @@ def test_ease_queries_fit_all_items_the_model_may_have(spark):
     rows = QUERIES["rec1_ease_weights"](spark, d)
     n = rows.select("i").distinct().count()
     assert n >= items and rows.where("i <> j").count() == rows.count() == n * (n - 1)
+
+
+def test_many_groups_lie_in_one_batch(spark):
+    """Rows standing for all members, scores row by row and a group's rows over several batches give the same; no group is lost."""
+    rng = random.Random(3)
+    own = [(g, 3 * g + m, i, rng.randint(1, 10) / 2) for g in range(40) for m in range(3) for i in rng.sample(range(30), 9)]
+    means = {i: 2.0 + i / 100 for i in range(30)}
+    of_group = {g: sorted({i for h, _, i, _ in own if h == g}) for g in range(40)}
+    rated = {(u, i): x for _, u, i, x in own}
+    short = spark.createDataFrame([(*r, means[r[2]]) for r in own], "group_id bigint, user_id bigint, item_id bigint, score double, otherwise double")
+    full = spark.createDataFrame([(g, 3 * g + m, i, rated.get((3 * g + m, i), means[i])) for g in of_group for m in range(3) for i in of_group[g]], "group_id bigint, user_id bigint, item_id bigint, score double")
+    votes = spark.createDataFrame([(g, u, k % 2, i, rng.choice([-1, 0, 1])) for k, (g, u, i, _) in enumerate(own) if k % 9 < 5], "group_id bigint, user_id bigint, round int, item_id bigint, vote int")
+    params = [p for p in C.catalogue(10) if p.name in ("A1", "A3", "S1", "H0")]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    calls = [lambda s: C.next_round(s, votes, params), lambda s: C.queues(s, votes, params), lambda s: C.profiles(s, votes, params[-1])]
+    want = [rows(call(full)) for call in calls]
+    assert all(len({r[1] for r in w}) == 40 for w in want)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert [rows(call(short)) for call in calls] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
