@@ -492,3 +492,18 @@ def test_many_groups_lie_in_one_batch(spark):
         assert [rows(call(short)) for call in calls] == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_votes_of_own_ratings(spark):
+    """What own_items gives the round machine as votes is what the view gives; ratings reach it once."""
+    from marquee.plans import consensus_queries as Q
+    from marquee.sources import views
+
+    directory = "/root/testdata/sf0.001"
+    if not os.path.isdir(directory):
+        pytest.skip("no tables")
+    scores, votes = Q.own_items(spark, directory, 1)
+    columns = ["group_id", "user_id", "round", "item_id", "vote"]
+    want = views.votes(views.ratings(spark, directory)).where("round < 1").select(columns)
+    assert sorted(map(tuple, votes.select(columns).collect())) == sorted(map(tuple, want.collect()))
+    assert scores.count() == scores.select("group_id", "user_id", "item_id").distinct().count() and Q.own_items(spark, directory, 0)[1].count() == 0
