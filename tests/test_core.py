@@ -2,6 +2,7 @@ import itertools
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -507,3 +508,88 @@ def test_votes_of_own_ratings(spark):
     want = views.votes(views.ratings(spark, directory)).where("round < 1").select(columns)
     assert sorted(map(tuple, votes.select(columns).collect())) == sorted(map(tuple, want.collect()))
     assert scores.count() == scores.select("group_id", "user_id", "item_id").distinct().count() and Q.own_items(spark, directory, 0)[1].count() == 0
+
+
+def _many(n, seed, rounds):
+    """Groups of 1 to 4 members in order, with rows of their own items, and votes, some of them twice or on items without scores."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(n):
+        users = [10 * g + m for m in range(rng.randint(1, 4))]
+        rated = {u: rng.sample(range(30), rng.randint(1, 9)) for u in users}
+        rows += [(g, 0, 0, u, i, rng.randint(1, 10) / 2, 2.0 + i / 100) for u in users for i in sorted(rated[u])]
+        played = rng.sample(range(5), rng.randint(0, rounds))
+        pool = sorted({i for s in rated.values() for i in s} | {99})
+        rows += [(g, 1, k, u, i, float(rng.choice([-1, 0, 1])), np.nan) for k in sorted(played) for u in [*users, 10 * g + 9] for i in sorted(rng.choices(pool, k=4))]
+    return [np.array(c) for c in zip(*rows)]
+
+
+def _rows(columns):
+    return sorted(zip(*(np.asarray(c).tolist() for c in columns)))
+
+
+def _same(got, want):
+    got, want = _rows(got), sorted(want)
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=0, atol=1e-12) and want
+
+
+def _faster(many, one_by_one, times=3):
+    """many() takes less than a part of the time of one_by_one()."""
+    took = []
+    for f in (many, one_by_one):
+        began = time.process_time()
+        f()
+        took.append(time.process_time() - began)
+    assert took[0] * times < took[1], took
+
+
+def _sessions(batch, p):
+    return [C._resumed(p, grid, told) for grid, told in batch.grids()]
+
+
+def _followed(batch, p):
+    out = []
+    for session, rounds in _sessions(batch, p):
+        for given in rounds:
+            session._follow(given)
+        voted = sorted({i for given in rounds for v in given.values() for i in v})
+        out += [(session.group, u, i, float(session.own[row, session.place[i]])) for row, u in enumerate(session.users) for i in voted]
+    return out
+
+
+def _queued(batch, p):
+    out = []
+    for session, rounds in _sessions(batch, p):
+        for given in rounds:
+            session._redistribute(given)
+        out += [(session.group, u, i, float(x)) for u in session.users for i, x in session.queue[u].items()]
+    return out
+
+
+def _opened(batch, p):
+    return [(session.group, u, pos, i, False) for session, _ in _sessions(batch, p) for u, items in session.recommend({}).items() for pos, i in enumerate(items, 1)]
+
+
+def _catalogue(*names):
+    return [p for p in C.catalogue(10) if p.name in names]
+
+
+def test_profiles_of_many_groups_at_once():
+    (p,) = _catalogue("A3")
+    batch = C._Batch(*_many(300, 4, 4))
+    _same(batch.followed(p), _followed(batch, p))
+    _faster(lambda: batch.followed(p), lambda: _followed(batch, p))
+
+
+def test_queues_of_many_groups_at_once():
+    batch = C._Batch(*_many(300, 5, 4))
+    for p in [*_catalogue("A1", "A3"), C.Params("n", priority="normalised")]:
+        _same(batch.queued(p), _queued(batch, p))
+    _faster(lambda: batch.queued(p), lambda: _queued(batch, p))
+
+
+def test_openings_of_many_groups_at_once():
+    batch = C._Batch(*_many(300, 6, 0))
+    for p in [*_catalogue("A0", "A1", "H0", "H1", "S0", "S1"), C.Params("x", "hybrid", preamble=20), C.Params("y", "hybrid", preamble=0), *(C.Params(a, "sync", "group", aggregate=a, w=3) for a in ("min", "max", "median", "geomean"))]:
+        assert _rows(batch.opening(p)) == sorted(_opened(batch, p))
+    _faster(lambda: batch.opening(p), lambda: _opened(batch, p))
