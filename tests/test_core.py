@@ -608,3 +608,32 @@ def test_votes_beside_the_ratings_they_come_from(spark):
         got, want = (call(*f(spark, directory, rounds)) for f in (Q.own_rows, Q.own_items))
         assert rows(got) == rows(want) != []
         assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning(group_id") == 1
+
+
+def test_packed_groups_hold_what_the_views_give(spark, tmp_path):
+    """Doubled and odd rows, ranges and packed rows of a few ratings, members left over: groups, ratings, means and votes are those of the views."""
+    from marquee.operators import packed_groups as P
+    from marquee.plans import consensus_queries as Q
+    from marquee.sources import views
+
+    rng = random.Random(8)
+    some = [(rng.randint(-5, 40) * 2**33, rng.randint(0, 60), rng.choice([0.5, 2.5, 3.0, 3.5, 5.0, 7.0, float("nan"), None]), rng.choice([None, 0, -3, 5])) for _ in range(2500)]
+    spark.createDataFrame([*some, (None, 1, 3.0, 1), (1, None, 3.0, 1)], "userId bigint, movieId bigint, rating double, timestamp bigint").write.parquet(str(tmp_path / "ratings.parquet"))
+    directory, rows = str(tmp_path), lambda df: sorted(map(tuple, df.collect()))
+    rated = views.ratings(spark, directory)
+    assert rated.select("user_id").distinct().count() % 3
+    member = views.groups(rated).select("group_id", F.explode("members").alias("user_id"))
+    want = rows(rated.join(member, "user_id").select("group_id", "user_id", "item_id", "rating"))
+    for each, at_once, packed in ((50, 70, 20), (400, 10_000, 90), (P.EACH, P.AT_ONCE, P.PACKED)):
+        groups = P.PackedGroups.of(views.rating_rows(spark, directory), 3, each, at_once, packed)
+        assert rows(groups.rows()) == want
+        assert rows(groups.means()) == rows(rated.groupBy("item_id").agg(F.round(F.avg("rating"), 6)))
+        assert groups.table.count() >= (10 if each == 50 else 1)
+    calls = [(0, lambda *x: C.next_round(*x, _catalogue("H0", "A0"))), (1, lambda *x: C.queues(*x, _catalogue("A1", "A3"))), (2, lambda *x: C.profiles(*x, *_catalogue("A3"))), (1, lambda *x: C.next_round(*x, _catalogue("S1")))]
+    for rounds, call in calls:
+        want = rows(call(*Q.own_items(spark, directory, rounds)))
+        packed = call(*Q.own_groups(spark, directory, rounds))
+        assert rows(packed) == rows(call(*Q.own_groups(spark, directory, rounds, 3))) == want != []
+        assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()  # before: three shuffles of all ratings after the first
+    none = P.PackedGroups.of(views.rating_rows(spark, directory).where("false"), 3)
+    assert none.rows().count() == none.means().count() == 0
