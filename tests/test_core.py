@@ -637,3 +637,14 @@ def test_packed_groups_hold_what_the_views_give(spark, tmp_path):
         assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()  # before: three shuffles of all ratings after the first
     none = P.PackedGroups.of(views.rating_rows(spark, directory).where("false"), 3)
     assert none.rows().count() == none.means().count() == 0
+
+
+def test_queues_reach_the_machine_without_a_shuffle(spark):
+    """con3_dynamic_priority reads groups that lie whole; before, ratings were joined with means by item and dealt out again by group."""
+    from marquee.plans import consensus_queries as Q
+
+    directory = "/root/testdata/sf0.001"
+    if not os.path.isdir(directory):
+        pytest.skip("no tables")
+    plan = Q.QUERIES["con3_dynamic_priority"](spark, directory)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
