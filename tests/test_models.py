@@ -1,6 +1,7 @@
 import difflib
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -289,3 +290,38 @@ def test_best_cells(spark):
     df = spark.createDataFrame([("a", 1.0, 4.0), ("b", 2.0, 3.0)], "n string, x double, y double")
     text = latex_table(df, bold=best_of(df, ["x", "y"]), heads=[("", 1), ("both", 2)])
     assert r"a & \textbf{1.00} & 4.00" in text and r"b & 2.00 & \textbf{3.00}" in text and r"\multicolumn{2}{c}{both}" in text
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+@pytest.mark.parametrize("cells", [10**6, 150])
+def test_predictions_by_users_without_all_pairs(spark, least, cells):
+    """Popular items that many share and nothing else, few and many panels, wanted items that are rated, unrated and unknown."""
+    from marquee.operators.near_users import near_user_predictions
+
+    rng = np.random.default_rng(least)
+    x = table(rng, 60, 40, 0.08)
+    x[:, :3] = rng.choice([0, 1.5, 3, 4.5], (60, 3))  # these three make up most of what users share
+    rated = facts(spark, x)
+    wanted = spark.createDataFrame([(u, i) for u in range(0, 62, 2) for i in range(0, 42) if (u + i) % 3 or i < 3], "user_id bigint, item_id bigint")
+    rows = lambda df: {(r.user_id, r.item_id): r.est for r in df.collect()}
+    got = rows(near_user_predictions(rated, wanted, 4, least, cells))
+    want = rows(O.knn_predictions(rated, O.similarities(rated, least, "item_id", "user_id"), wanted, 4, "user_id"))
+    assert got.keys() == want.keys() and len({*want.values()}) > 20
+    assert all(got[key] == pytest.approx(want[key], abs=1e-9) for key in want)
+
+
+def test_predictions_by_users_look_at_few_pairs(spark):
+    """4,000 users share three items and nothing else: all their pairs, eight million, took 70 seconds; now kinds of users are compared (7)."""
+    from marquee.operators.near_users import near_user_predictions
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(1, 11, (4000, 3)) / 2
+    wanted = spark.createDataFrame([(u, u % 3) for u in range(0, 4000, 2)], "user_id bigint, item_id bigint")
+    began = time.time()
+    got = {(r.user_id, r.item_id): r.est for r in near_user_predictions(facts(spark, x), wanted).collect()}
+    assert time.time() - began < 40 and len(got) == 2000
+    for u in range(0, 4000, 400):
+        sim = np.round((x @ x[u]) / np.sqrt((x * x).sum(axis=1) * (x[u] @ x[u])), 6)
+        sim[u] = -1
+        best = np.lexsort((np.arange(4000), -sim))[:20]
+        assert got[u, u % 3] == pytest.approx((sim[best] * x[best, u % 3]).sum() / sim[best].sum())
