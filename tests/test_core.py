@@ -185,6 +185,24 @@ def test_user_based_ease(spark):
     assert all(rows[u, k + 1] == i for u in range(50) for k, i in enumerate(_best(s[u], 4)))
 
 
+@pytest.mark.parametrize("users,items", [(50, 30), (30, 50)])
+def test_user_based_ease_inverts_the_smaller_side(spark, monkeypatch, users, items):
+    """rec3_user_based_top10 always inverted users by users, however many they are."""
+    from marquee.operators.linear import BlockMatrix
+    from marquee.plans import model_queries as Q
+
+    x, sizes, made = _dense(np.random.default_rng(4), users, items), [], BlockMatrix.of_cells
+    monkeypatch.setattr(BlockMatrix, "of_cells", lambda cells, n, width=None: sizes.append(n) or made(cells, n, 16))
+    monkeypatch.setattr(Q, "split", lambda s, d: (_facts(spark, x), None))
+    p = np.linalg.inv(x @ x.T + 500.0 * np.eye(users))
+    b = -p / np.diag(p)[None, :]
+    np.fill_diagonal(b, 0)
+    s = np.where(x > 0, -np.inf, (x.T @ b).T)
+    rows = Q.QUERIES["rec3_user_based_top10"](spark, "").collect()
+    assert sizes == [30] and len(rows) == np.minimum((x == 0).sum(axis=1), 10).sum()
+    assert all(r.item_id == _best(s[r.user_id], 10)[r.place - 1] and r.score == pytest.approx(s[r.user_id, r.item_id], abs=6e-5) for r in rows)
+
+
 def test_ease_of_nothing(spark):
     empty = spark.createDataFrame([], "user_id bigint, item_id bigint, rating double")
     model = O.Ease(empty).fit(1.0)
