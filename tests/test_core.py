@@ -628,6 +628,35 @@ def test_votes_beside_the_ratings_they_come_from(spark):
         assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning(group_id") == 1
 
 
+def test_votes_beside_their_scores_are_not_looked_up(monkeypatch):
+    """con3_dynamic_priority took votes out of the rows of scores and looked their cells up again."""
+    rng = np.random.default_rng(9)
+    keys = np.unique(rng.integers(0, [40, 3, 30], (2000, 3)), axis=0)
+    g, u, i = keys[:, 0], keys[:, 0] * 3 + keys[:, 1], keys[:, 2]
+    at, vote = rng.integers(0, 3, len(g)), rng.choice([-1.0, 0.0, 1.0, np.nan], len(g))
+    x, other = np.where(rng.random(len(g)) < 0.2, np.nan, rng.random(len(g))), rng.random(len(g))
+    told = np.flatnonzero(~np.isnan(vote))
+    told = told[np.lexsort((i[told], u[told], at[told], g[told]))]
+    both = lambda a, b: np.concatenate([a, b])
+    want = C._Batch(both(g, g[told]), np.repeat([0, 1], [len(g), len(told)]), both(at * 0, at[told]), both(u, u[told]), both(i, i[told]), both(x, vote[told]), both(other, other[told]))
+    monkeypatch.setattr(C._Batch, "_places", None)
+    got = C._voted(g, u, i, x, other, at, vote)
+    for p in _catalogue("A1", "A3"):
+        assert _rows(got.queued(p)) == _rows(want.queued(p)) != []
+    assert all(np.array_equal(getattr(got, c), getattr(want, c)) for c in ("scores", "cell", "vote", "at", "items", "users"))
+
+
+@pytest.mark.parametrize("far", [1, 2**40, 2**61])
+def test_places_in_order_of_any_keys(far):
+    from marquee.operators.packed_groups import places_in_order
+
+    rng = np.random.default_rng(10)
+    major, minor = rng.integers(-3, 4, 500) * far, rng.integers(-3, 4, 500) * far
+    order = places_in_order(major, minor)
+    assert list(zip(major[order], minor[order])) == sorted(zip(major, minor)) and sorted(order) == list(range(500))
+    assert not len(places_in_order(major[:0], minor[:0]))
+
+
 def test_packed_groups_hold_what_the_views_give(spark, tmp_path):
     """Doubled and odd rows, ranges and packed rows of a few ratings, members left over: groups, ratings, means and votes are those of the views."""
     from marquee.operators import packed_groups as P
