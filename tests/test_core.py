@@ -203,6 +203,24 @@ def test_user_based_ease_inverts_the_smaller_side(spark, monkeypatch, users, ite
     assert all(r.item_id == _best(s[r.user_id], 10)[r.place - 1] and r.score == pytest.approx(s[r.user_id, r.item_id], abs=6e-5) for r in rows)
 
 
+def test_ease_keeps_no_matrix_it_has_used_up(spark, monkeypatch):
+    """rec1, rec3, rec15, con18 and con20 kept the Gram matrix beside the inverse."""
+    from marquee.operators import linear
+    from marquee.plans import model_queries as Q
+
+    rated, made, deleted = _facts(spark, _dense(np.random.default_rng(5), 40, 30)), [], []
+    real_scratch, real_removed = linear.scratch, linear.removed
+    monkeypatch.setattr(linear, "scratch", lambda s, name: made.append(real_scratch(s, name)) or made[-1])
+    for module in (linear, O):
+        monkeypatch.setattr(module, "removed", lambda s, path: deleted.append(path) or real_removed(s, path), raising=False)
+    monkeypatch.setattr(Q, "R", lambda s, d: rated)
+    monkeypatch.setattr(Q, "split", lambda s, d: (rated, rated.where("item_id < 5").select("user_id", "item_id")))
+    for name, kept in (("rec1_ease_weights", 1), ("rec3_ease_columns_top10", 1)):
+        made.clear(), deleted.clear()
+        rows = Q.QUERIES[name](spark, "").collect()
+        assert rows and len(set(made) - set(deleted)) == kept, name
+
+
 def test_ease_of_nothing(spark):
     empty = spark.createDataFrame([], "user_id bigint, item_id bigint, rating double")
     model = O.Ease(empty).fit(1.0)
