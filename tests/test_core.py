@@ -204,7 +204,7 @@ def test_user_based_ease_inverts_the_smaller_side(spark, monkeypatch, users, ite
 
 
 def test_ease_keeps_no_matrix_it_has_used_up(spark, monkeypatch):
-    """rec1, rec3, rec15, con18 and con20 kept the Gram matrix beside the inverse."""
+    """rec1, rec3, rec15, con18 and con20 kept the Gram matrix beside the inverse, rec16 the inverses of all penalties."""
     from marquee.operators import linear
     from marquee.plans import model_queries as Q
 
@@ -215,7 +215,7 @@ def test_ease_keeps_no_matrix_it_has_used_up(spark, monkeypatch):
         monkeypatch.setattr(module, "removed", lambda s, path: deleted.append(path) or real_removed(s, path), raising=False)
     monkeypatch.setattr(Q, "R", lambda s, d: rated)
     monkeypatch.setattr(Q, "split", lambda s, d: (rated, rated.where("item_id < 5").select("user_id", "item_id")))
-    for name, kept in (("rec1_ease_weights", 1), ("rec3_ease_columns_top10", 1)):
+    for name, kept in (("rec1_ease_weights", 1), ("rec3_ease_columns_top10", 1), ("rec16_penalty_sweep", 1)):
         made.clear(), deleted.clear()
         rows = Q.QUERIES[name](spark, "").collect()
         assert rows and len(set(made) - set(deleted)) == kept, name
