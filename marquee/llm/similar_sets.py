@@ -1,5 +1,8 @@
 """Problem 2: all pairs of set-valued records whose Jaccard similarity reaches a threshold.
 
+Records are looked up by the rarest items of their sets where that is less work (`set_prefixes.py`); it finds every pair but
+for one in a million right at the threshold. Where items are so few that their lists are long, by sketches:
+
 Multi-index binary sketches. Each record's set is reduced to one-bit minhashes packed into a code of 128 bits; two sets of
 similarity s agree in a bit with probability (1 + s) / 2. Every index takes a segment, some fixed bits of the code, and
 joins the records that agree in all of them; candidates must then lie within a Hamming radius. The radius and the number of
@@ -28,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.set_prefixes import BITS, Prefixes, binomial_upto, mix64
 from marquee.operators.skew import clustered, partitions_for
 from marquee.session import ship, written
 
-BITS = 128
 #: Records a segment group is expected to hold, and records of one cell (a task's share of one index).
 GROUP, CELL = 512, 200_000
 #: Segments whose cells lie on disk at once (about 18 bytes a record and segment).
@@ -41,15 +44,6 @@ LOOKED_AT = 200_000
 _U = np.uint64
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A fixed bijective mixing of 64-bit integers."""
-    with np.errstate(over="ignore"):
-        x = x.astype(np.uint64) + _U(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
-
-
 def item_hashes(items: np.ndarray) -> np.ndarray:
     """(items, BITS) 16-bit hash values."""
     lanes = np.arange(BITS // 4, dtype=np.uint64) * _U(0xD1342543DE82EF95)
@@ -87,9 +81,9 @@ def set_hashes(items: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         return np.add.reduceat(h, starts).view(np.int64), np.add.reduceat(mix64(h ^ _U(0xA5A5A5A5)), starts).view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (k, part, x) rows to one row a (record, part): size, set hashes, code, and the minima for hot records' parts."""
-    names = ["r", "size", "h1", "h2", "c1", "c2", "minima"]
+def _signatures(batches: Iterator[pa.RecordBatch], prefixes: Prefixes | None = None) -> Iterator[pa.RecordBatch]:
+    """Sorted (k, part, x) rows to one row a (record, part): size, set hashes, code, the minima for hot records' parts, tokens."""
+    names = ["r", "size", "h1", "h2", "c1", "c2", "minima", "tokens"]
 
     def flush(k, p, x):
         fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (x[1:] != x[:-1])])
@@ -100,7 +94,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c1, c2 = packed(minima)
         h1, h2 = set_hashes(x, starts)
         kept = [m.tobytes() if part else None for m, part in zip(minima, p[starts])]
-        return pa.RecordBatch.from_arrays([pa.array(k[starts]), pa.array(sizes.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(kept, pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array(k[starts]), pa.array(sizes.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(kept, pa.binary()), prefixes.of(x, starts, sizes, p[starts]) if prefixes else pa.nulls(len(starts), pa.binary())], names)
 
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
@@ -121,36 +115,29 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush(k, p, x)
 
 
-_SIGNATURE = "r bigint, size bigint, h1 bigint, h2 bigint, c1 bigint, c2 bigint, minima binary"
+_SIGNATURE = "r bigint, size bigint, h1 bigint, h2 bigint, c1 bigint, c2 bigint, minima binary, tokens binary"
 
 
-def _joined(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _joined(key: tuple[pa.Scalar, ...], table: pa.Table, prefixes: Prefixes | None = None) -> pa.Table:
     """The parts of one hot record (at most as many as skew.PARTS) to its signature."""
     minima = np.array([np.frombuffer(m, np.uint16) for m in table["minima"].to_pylist()]).min(axis=0, keepdims=True)
     c1, c2 = packed(minima)
     with np.errstate(over="ignore"):
         h1, h2 = (np.asarray(table[c]).sum(dtype=np.int64) for c in ("h1", "h2"))
-    return pa.table({"r": [key[0].as_py()], "size": [int(np.asarray(table["size"]).sum())], "h1": [int(h1)], "h2": [int(h2)], "c1": pa.array(c1.view(np.int64)), "c2": pa.array(c2.view(np.int64)), "minima": pa.array([None], pa.binary())})
+    tokens = prefixes.joined(table["tokens"].to_pylist()) if prefixes else None
+    return pa.table({"r": [key[0].as_py()], "size": [int(np.asarray(table["size"]).sum())], "h1": [int(h1)], "h2": [int(h2)], "c1": pa.array(c1.view(np.int64)), "c2": pa.array(c2.view(np.int64)), "minima": pa.array([None], pa.binary()), "tokens": pa.array([tokens], pa.binary())})
 
 
-def signatures(df: DataFrame, record: str, item: str) -> DataFrame:
-    """(r, size, h1, h2, c1, c2) of every record, written to the shared folder."""
+def signatures(df: DataFrame, record: str, item: str, prefixes: Prefixes | None = None) -> DataFrame:
+    """(r, size, h1, h2, c1, c2) of every record, and its tokens where prefixes are given, written to the shared folder."""
     ship(df.sparkSession)
     source = df.select(F.col(record).cast("bigint").alias("record"), F.col(item).cast("bigint").alias("item"))
-    made = written(clustered(source, "record", "item").mapInArrow(_signatures, _SIGNATURE), "signatures")
-    columns = ["r", "size", "h1", "h2", "c1", "c2"]
+    made = written(clustered(source, "record", "item").mapInArrow(lambda batches: _signatures(batches, prefixes), _SIGNATURE), "signatures")
+    columns = ["r", "size", "h1", "h2", "c1", "c2", *["tokens"] * (prefixes is not None)]
     if not made.where("minima is not null").limit(1).count():
         return made.select(columns)
     whole = made.where("minima is null").select(columns)
-    return whole.unionByName(made.where("minima is not null").groupBy("r").applyInArrow(_joined, _SIGNATURE).select(columns))
-
-
-def binomial_upto(n: int, p: float) -> list[float]:
-    out, total = [], 0.0
-    for x in range(n + 1):
-        total += math.comb(n, x) * p**x * (1 - p) ** (n - x)
-        out.append(total)
-    return out
+    return whole.unionByName(made.where("minima is not null").groupBy("r").applyInArrow(lambda key, table: _joined(key, table, prefixes), _SIGNATURE).select(columns))
 
 
 @dataclass(frozen=True)
@@ -343,12 +330,18 @@ def near_pairs(representatives: DataFrame, plan: Plan, numerator: int, denominat
 def similar_sets(df: DataFrame, record: str, item: str, *, numerator: int = 7, denominator: int = 10, least: int = 8, recall: float = 0.998) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives (a, b, common, size_a, size_b) with common / united >= numerator / denominator,
     and membership (record, class_id): records with equal sets share a class, whose id is its least record."""
-    signed = signatures(df, record, item).where(F.col("size") >= least)
-    classes = signed.groupBy("h1", "h2", "size").agg(F.min("r").alias("r"), F.min("c1").alias("c1"), F.min("c2").alias("c2"))
+    prefixes = Prefixes(df, item, numerator, denominator, least)
+    signed = signatures(df, record, item, prefixes).where(F.col("size") >= least)
+    classes = signed.groupBy("h1", "h2", "size").agg(*(F.min(c).alias(c) for c in ("r", "c1", "c2", "tokens")))
     representatives = written(classes, "classes")
     records = representatives.count()
     members = signed.join(representatives.select("h1", "h2", "size", F.col("r").alias("class_id")), ["h1", "h2", "size"]).select(F.col("r").alias(record), "class_id")
-    near = near_pairs(representatives, calibrate(records, numerator / denominator, recall), numerator, denominator, records)
+    plan = calibrate(records, numerator / denominator, recall)
+    met, parts = prefixes.estimate(representatives, records)
+    if met <= records * len(plan.bits) * GROUP // 8:
+        near = written(prefixes.pairs(representatives, records, parts), "near")
+    else:
+        near = near_pairs(representatives, plan, numerator, denominator, records)
     # The original sets decide.
     involved = near.select(F.col("a").alias("r")).union(near.select("b")).distinct()
     rows = df.select(F.col(record).cast("bigint").alias("r"), F.col(item).cast("bigint").alias("x")).where("x is not null").join(involved, "r", "left_semi").distinct()
