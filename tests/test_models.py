@@ -74,6 +74,39 @@ def test_memory_knn_needs_enough_ratings(spark):
     assert rows[3].n_users == (n > 7).sum() and rows[6].n_users == (n > 10).sum() and all(0 < r.rmse < 4 for r in rows.values())
 
 
+@pytest.mark.parametrize("cells", [10**6, 700])
+def test_memory_knn_against_all_pairs(spark, monkeypatch, cells):
+    """Hot items that nearly all share, many users alike, one panel and several: as if all pairs were compared; no table of pairs."""
+    rng = np.random.default_rng(9)
+    x = table(rng, 150, 60, 0.12)
+    x[:, 0] = np.where(rng.random(150) < 0.9, rng.integers(1, 11, 150) / 2, 0)
+    x[:, 1] = np.where(rng.random(150) < 0.4, rng.integers(1, 11, 150) / 2, 0)
+    x[100:, 4:] *= rng.random((50, 56)) < 0.1
+    monkeypatch.setattr(O, "gram", lambda *a: pytest.fail("all pairs"))
+    monkeypatch.setattr("marquee.operators.knn_errors.FIRST", 3)
+    monkeypatch.setattr("marquee.operators.knn_errors.EACH", 2)
+    got = {r.n_ratings: r for r in O.memory_knn_rmse(facts(spark, x), [3, 6], 2, 4, cells=cells).collect()}
+    m, s, ss = (x > 0).any(axis=0).sum(), x.sum(axis=1), (x * x).sum(axis=1)
+    for size in (3, 6):
+        errors = []
+        for u in range(150):
+            items = sorted(np.flatnonzero(x[u]).tolist(), key=lambda i: ((u * 2654435761 + i * 40503 + 42) % 1000003, i))
+            if len(items) <= size + 2:
+                continue
+            mine, rest = items[:size], items[size:]
+            a, aa, mean = x[u, mine].sum(), (x[u, mine] ** 2).sum(), x[u, mine].mean()
+            others = [v for v in range(150) if v != u and (x[v, mine] > 0).any()]
+            sim = {v: round((m * (x[u, mine] @ x[v, mine]) - a * s[v]) / np.sqrt((m * aa - a * a) * (m * ss[v] - s[v] ** 2)), 9) for v in others}
+            near = sorted(others, key=lambda v: (-sim[v], v))[:4]
+            off = []
+            for i in rest:
+                by = [v for v in near if x[v, i]]
+                total = sum(abs(sim[v]) for v in by)
+                off.append(x[u, i] - mean - (sum((x[v, i] - s[v] / (x[v] > 0).sum()) * sim[v] for v in by) / total if total else 0))
+            errors.append(np.sqrt(np.mean(np.square(off))))
+        assert got[size].n_users == len(errors) > 30 and got[size].rmse == pytest.approx(np.mean(errors), abs=1e-9)
+
+
 # Factors
 
 
